@@ -1,0 +1,4 @@
+"""Registered queries of the graph operators over the driver's tables."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
