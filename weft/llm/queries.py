@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .repetition import repetition_quality
+from .tokencount import token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +17,9 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition,)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
