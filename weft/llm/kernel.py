@@ -123,11 +123,27 @@ def windows(h: np.ndarray, item_doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(out[at]), at
 
 
+def clashing(keys: np.ndarray) -> np.ndarray:
+    """Positions, ascending, of keys that may occur twice or more: all that do, and few others.
+
+    Positions ride in the low bits of the keys, so that one plain sort of numbers finds equal high bits.
+    """
+    low = U(max(1, int(len(keys)).bit_length()))
+    s = np.sort((keys >> low << low) | np.arange(len(keys), dtype=U))
+    high = s >> low
+    same = high[1:] == high[:-1]
+    near = np.zeros(len(keys), dtype=bool)
+    near[1:] = same
+    near[:-1] |= same
+    return np.sort((s[near] & ((U(1) << low) - U(1))).astype(np.int64))
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per key: whether it occurs twice or more, and whether an equal key stands before it."""
     any_, later = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     if len(keys) > 1:
-        order = np.argsort(keys, kind="stable")
+        some = clashing(keys)
+        order = some[np.argsort(keys[some], kind="stable")]
         s = keys[order]
         same = s[1:] == s[:-1]
         later[order[1:][same]] = True
