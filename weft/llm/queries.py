@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import license_report
 from .repetition import repetition_quality
 from .tokencount import token_counts
 
@@ -17,9 +18,13 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op3_licenses, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
