@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .licenses import license_report
 from .repetition import repetition_quality
 from .tokencount import token_counts
+from .toxicity import toxicity_report
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_read(spark, sf_dir, "documents"))
 
@@ -26,5 +31,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op3_licenses, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
