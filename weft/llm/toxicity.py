@@ -225,7 +225,7 @@ def _calibrate(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple:
     return tuple(float(v) for v in b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_docs: int = 60_000, max_entries: int = 20_000, min_share: float = 0.5, z: float = 2.58) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_docs: int = 60_000, max_entries: int = 20_000, min_share: float = 0.7, z: float = 1.96) -> ToxicityModel:
     """Learns insults, weights and calibration from labels (doc_id, toxic).
 
     The sample is bounded: of the labelled documents the max_docs with the least hash of their id. Two thirds of them
