@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .licenses import license_report
 from .repetition import repetition_quality
+from .sharding import shards
 from .tokencount import token_counts
 from .toxicity import toxicity_report
 
@@ -27,9 +29,17 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op8_token_counts)}
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(_read(spark, sf_dir, "documents"), limit=16 << 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op5_decontamination, op8_token_counts, op9_shards)}
 ORACLE_SQL: dict[str, str] = {}
