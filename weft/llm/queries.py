@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .licenses import license_report
+from .packing import pack
 from .repetition import repetition_quality
 from .sharding import shards
 from .tokencount import token_counts
@@ -33,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -41,5 +46,5 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_read(spark, sf_dir, "documents"), limit=16 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op5_decontamination, op8_token_counts, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op5_decontamination, op6_packing, op8_token_counts, op9_shards)}
 ORACLE_SQL: dict[str, str] = {}
