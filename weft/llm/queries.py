@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .licenses import license_report
+from .linededup import duplicate_lines
 from .packing import pack
 from .repetition import repetition_quality
 from .sharding import shards
@@ -30,6 +31,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(_read(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -46,5 +51,5 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_read(spark, sf_dir, "documents"), limit=16 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op5_decontamination, op6_packing, op8_token_counts, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op4_line_dedup, op5_decontamination, op6_packing, op8_token_counts, op9_shards)}
 ORACLE_SQL: dict[str, str] = {}
