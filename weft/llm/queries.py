@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .jaccard import jaccard_components
 from .licenses import license_report
 from .linededup import duplicate_lines
 from .packing import pack
@@ -43,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -51,5 +56,5 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_read(spark, sf_dir, "documents"), limit=16 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op4_line_dedup, op5_decontamination, op6_packing, op8_token_counts, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op4_line_dedup, op5_decontamination, op6_packing, op7_jaccard, op8_token_counts, op9_shards)}
 ORACLE_SQL: dict[str, str] = {}
