@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .jaccard import jaccard_components
+from .katz import katz_report
 from .licenses import license_report
 from .linededup import duplicate_lines
 from .packing import pack
@@ -56,5 +57,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_read(spark, sf_dir, "documents"), limit=16 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op4_line_dedup, op5_decontamination, op6_packing, op7_jaccard, op8_token_counts, op9_shards)}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_toxicity, op3_licenses, op4_line_dedup, op5_decontamination, op6_packing, op7_jaccard, op8_token_counts, op9_shards, op10_katz)}
 ORACLE_SQL: dict[str, str] = {}
