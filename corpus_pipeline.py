@@ -1,8 +1,53 @@
-"""The corpus pipeline: five operators in a row over documents."""
+"""The corpus pipeline: toxic documents go, repeated lines go, one document of each group of near copies stays, documents
+with benchmark passages go, and what is left is packed into sequences.
 
-STAGES: list = []
+Every stage is written as Parquet in the shared folder and read again by the next, so a lost executor costs one stage at
+most. Null and empty texts pass all filters; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from weft.llm import decontaminate, jaccard, linededup, packing, toxicity
+from weft.llm.store import written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labels outside the held-out quarter."""
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels), threshold=0.3)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, to one word, go; so do documents with nothing else."""
+    return linededup.without_lines(docs, linededup.duplicate_lines(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.75 or more."""
+    return jaccard.one_of_each(docs, k=5, percent=75)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in whatever order, go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [("toxicity", toxic), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
+
+#: SQL cannot express the learned and the tokenizing stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .licenses import WORD
+from .store import without_ids
 
 #: Benchmarks of up to so many bytes of text are broadcast (some 40 bytes a word); larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -146,5 +147,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 4, min_cover:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    bad = contamination(docs, benchmark, **kw).select("doc_id").distinct().withColumnRenamed("doc_id", "_bad")
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return without_ids(docs, contamination(docs, benchmark, **kw).where("doc_id is not null").select("doc_id"), "doc_id")

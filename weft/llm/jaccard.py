@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .store import written
+from .store import without_ids, written
 
 #: Bytes of text for each bucket of tokens and each group of documents.
 PER_BUCKET = 1 << 20
@@ -297,6 +297,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     return full.unionByName(none)
 
 
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; documents without words stay.
+
+    Rows with one id stay or go together; rows without an id stay.
+    """
+    gone = jaccard_components(docs, **kw).where("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, gone, "doc_id")
+
+
 def _tokens(df: DataFrame, keep: list[str]) -> DataFrame:
     """The column tokens spelled out, one row a token."""
     schema = ", ".join([*(f"{c} long" for c in keep), "token long"])

@@ -216,12 +216,16 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return hit.select("row", "doc_id", "line", kept.getField("doc_id").alias("kept_doc_id"), kept.getField("line").alias("kept_line"), F.when(F.col("best").isNull(), 0).otherwise(1).alias("edits"))
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def without_lines(docs: DataFrame, gone: DataFrame, broadcast_lines: int = 1_000_000) -> DataFrame:
     """docs without the lines (doc_id, line) of gone, n_chars counted anew; documents that lose their last word go.
 
-    Rows with the same id lose the same lines.
+    Rows with the same id lose the same lines. Up to broadcast_lines lines are broadcast (some ten bytes each), more are
+    joined by a shuffle.
     """
-    lists = gone.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    gone = written(gone.where("doc_id is not null").select("doc_id", "line"), "gone-lines")
+    lists = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    if gone.count() <= broadcast_lines:
+        lists = F.broadcast(lists)
     text = F.expr("if(_gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n'))")
     out = docs.join(lists, docs["doc_id"] == lists["_id"], "left").withColumn("text", text)
     out = out.where("_gone is null or text rlike '[^ \\\\t-\\\\r]'")

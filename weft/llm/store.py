@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """df without the rows whose key is in ids (one column, no nulls). Up to broadcast_rows ids are broadcast, more are
+    joined by a shuffle; rows with a null key stay."""
+    name = ids.columns[0]
+    found = written(ids.distinct().withColumnRenamed(name, "_gone"), "gone")
+    few = found.count() <= broadcast_rows
+    return df.join(F.broadcast(found) if few else found, df[key] == F.col("_gone"), "left_anti")

@@ -267,6 +267,25 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_c
     return got.select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_clauses", "best")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; filtered in place, without a shuffle."""
+    low, times, plus = model.coef
+    at = docs.columns.index("text")
+
+    def run(batches):
+        machine, arrays, classes = grammar(), _arrays(model.stems), closed_classes()
+        for batch in batches:
+            done = 0
+            text = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            for part, raw, off in K.blocks([_lowered(text)]):
+                best, total, _ = score_block(raw, off, arrays, machine, classes)
+                p = 1 / (1 + np.exp(-(low + times * np.log1p(best) + plus * np.log1p(total))))
+                yield batch.slice(done, part.num_rows).filter(pa.array(p < threshold))
+                done += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from: those whose crc32 of the id as text is not 2 modulo 4."""
     return labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2).select("doc_id", "toxic")
