@@ -20,12 +20,22 @@ from tokenizers import Tokenizer
 
 from . import kernel as K
 from .store import written
+from .tokencount import load
 
 #: Ids of so many distinct words are kept between blocks of a task.
 MEMO = 300_000
 #: Buckets in which pieces of one length are numbered side by side.
 SALTS = 64
 
+#: Classes of bytes in a word. Apostrophes (contractions), "<" (special strings), control bytes and all beyond ASCII but
+#: accented Latin letters are left to the library.
+LETTER, DIGIT, SIGN, HARD = range(4)
+_KIND = np.full(256, HARD, dtype=np.int8)
+_KIND[33:127] = SIGN
+_KIND[48:58] = DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[0xC3] = LETTER
+_KIND[[0x27, 0x3C]] = HARD
+
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
@@ -42,7 +52,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.library = tokenizer(path)
+        self.library, self.model = tokenizer(path), load(path)
         self.hashes, self.off, self.ids = np.zeros(0, dtype=K.U), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +64,10 @@ class WordIds:
         h, at, inverse = np.unique(K.hash_slices(raw, starts, ends), return_index=True, return_inverse=True)
         near = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         new = self.hashes[near] != h if len(self.hashes) else np.ones(len(h), dtype=bool)
-        body = raw.tobytes()
-        found = [x.ids for x in self.library.encode_batch([body[starts[i] : ends[i]].decode() for i in at[new]], add_special_tokens=False)]
-        n_new = np.array([len(x) for x in found], dtype=np.int64)
+        made, n_new = self._fresh(raw, starts[at[new]], ends[at[new]])
         old = np.flatnonzero(~new)
         n_old = np.diff(self.off)[near[old]]
-        ids = np.concatenate([self.ids[K.ragged(self.off[:-1][near[old]], n_old)], np.fromiter((t for x in found for t in x), dtype=np.int32, count=int(n_new.sum()))])
+        ids = np.concatenate([self.ids[K.ragged(self.off[:-1][near[old]], n_old)], made])
         where = np.concatenate([old, np.flatnonzero(new)])
         n, begin = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
         n[where] = np.concatenate([n_old, n_new])
@@ -70,6 +78,47 @@ class WordIds:
         self._keep(h, n, begin, ids, new)
         return out, to[first]
 
+    def _fresh(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words not met before, in a row, and how many each has. Plain words merge as arrays, others in the library."""
+        n = ends - starts
+        text = raw[K.ragged(starts, n)]
+        to = np.concatenate([[0], np.cumsum(n)])
+        kind = _KIND[text]
+        lead = text == 0xC3  # Latin letters of two bytes
+        after = np.concatenate([[False], lead[:-1]])
+        kind[after & (text >= 0x80) & (text != 0x97) & (text != 0xB7)] = LETTER
+        cut = np.zeros(len(text), dtype=bool)
+        cut[to[:-1]] = True
+        kind[np.concatenate([cut[1:] & lead[:-1], [bool(len(lead)) and bool(lead[-1])]])] = HARD
+        hard = K.sums(kind == HARD, to) > 0
+        text = K.LOWER[text]
+        text[after & (text >= 0x80) & (text <= 0x9E)] += 32
+        edge = cut | (kind == DIGIT)
+        edge[1:] |= kind[1:] != kind[:-1]
+        begin = np.flatnonzero(edge)
+        part_n = np.diff(np.append(begin, len(text)))
+        owner = np.searchsorted(to, begin, side="right") - 1
+        begin, part_n, owner = begin[~hard[owner]], part_n[~hard[owner]], owner[~hard[owner]]
+        # distinct parts merge once
+        _, first, same = np.unique(K.hash_slices(text, begin, begin + part_n), return_index=True, return_inverse=True)
+        length = part_n[first]
+        sym = self.model.of_byte[text[K.ragged(begin[first], length)]]
+        last = np.cumsum(length) - 1
+        sym[last] = self.model.of_last[text[(begin + part_n - 1)[first]]]
+        size, where, pool, used = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64), [], 0
+        for who, left, ids in self.model.merged(sym, length):
+            size[who], where[who] = left, used + np.cumsum(left) - left
+            pool.append(ids)
+            used += len(ids)
+        found = [x.ids for x in self.library.encode_batch_fast([raw[a:b].tobytes().decode() for a, b in zip(starts[hard], ends[hard], strict=True)], add_special_tokens=False)]
+        pool.append(np.fromiter((t for x in found for t in x), dtype=np.int64, count=sum(map(len, found))))
+        n_hard = np.array([len(x) for x in found], dtype=np.int64)
+        owner = np.concatenate([owner, np.flatnonzero(hard)])
+        size, where = np.concatenate([size[same], n_hard]), np.concatenate([where[same], used + np.cumsum(n_hard) - n_hard])
+        order = np.argsort(owner, kind="stable")
+        ids = np.concatenate(pool)[K.ragged(where[order], size[order])].astype(np.int32)
+        return ids, np.bincount(owner, weights=size, minlength=len(n)).astype(np.int64)
+
     def _keep(self, h, n, begin, ids, new) -> None:
         if len(self.hashes) > MEMO:
             self.hashes, self.ids, self.off = h, ids[K.ragged(begin, n)], np.concatenate([[0], np.cumsum(n)])

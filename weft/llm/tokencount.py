@@ -51,6 +51,8 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
         self.of_byte = np.array([vocab[c] for c in byte_symbols()], dtype=np.int64)
+        ending = spec["model"].get("end_of_word_suffix") or ""
+        self.of_last = np.array([vocab[c + ending] for c in byte_symbols()], dtype=np.int64)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -63,17 +65,23 @@ class Merges:
         out = np.diff(off)
         who = np.flatnonzero(out > 1)
         n = out[who]
-        sym = self.of_byte[raw[K.ragged(off[:-1][who], n)]]
+        for done, left, _ in self.merged(self.of_byte[raw[K.ragged(off[:-1][who], n)]], n):
+            out[who[done]] = left
+        return out
+
+    def merged(self, sym: np.ndarray, n: np.ndarray):
+        """Merges sequences of n[i] > 0 symbols each; yields (sequences, their lengths, their symbols) as they are done."""
+        who = np.arange(len(n))
+        rank = np.full(len(sym), _NONE)
+        rank[:-1] = self.ranks(sym[:-1], sym[1:])
         while len(who):
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            rank = np.full(len(sym), _NONE)
-            rank[:-1] = self.ranks(sym[:-1], sym[1:])
+            start = np.cumsum(n) - n
             rank[start + n - 1] = _NONE  # the last symbol has no right neighbour
             least = np.minimum.reduceat(rank, start)
             go = least < _NONE
             if not go.all():
-                out[who[~go]] = n[~go]
                 keep = np.repeat(go, n)
+                yield who[~go], n[~go], sym[~keep]
                 who, n, least, sym, rank = who[go], n[go], least[go], sym[keep], rank[keep]
                 if not len(who):
                     break
@@ -85,10 +93,13 @@ class Merges:
             sym[hit] = self.made[rank[hit]]
             stay = np.ones(len(sym), dtype=bool)
             stay[hit + 1] = False
-            seq = np.repeat(np.arange(len(n)), n)
-            n = n - np.bincount(seq[hit], minlength=len(n))
-            sym = sym[stay]
-        return out
+            to = np.cumsum(stay) - 1
+            n = np.diff(np.append(0, to[np.cumsum(n) - 1] + 1))
+            sym, rank, at = sym[stay], rank[stay], to[hit]
+            # only pairs that a merged symbol is part of have a new rank
+            at = np.concatenate([at, at[at > 0] - 1])
+            at = at[at < len(sym) - 1]
+            rank[at] = self.ranks(sym[at], sym[at + 1])
 
 
 @functools.lru_cache(maxsize=2)
