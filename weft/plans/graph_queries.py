@@ -1,4 +1,468 @@
-"""Registered queries of the graph operators over the driver's tables."""
+"""Registered queries of the graph operators over the driver's tables, each with the SQL that gives the same rows.
+
+Orders stand for commits and their items for changed paths; a customer's previous order is the parent commit.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import hashing, scalar
+from weft.operators import dataset, diff, evaluate, graph, model, quantiles, sampling, stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def changes(spark: SparkSession, sf_dir: str, item: str = "l_suppkey") -> DataFrame:
+    """(repo, commit, item): one repository of all orders."""
+    return read(spark, sf_dir, "lineitem").select(F.lit("all").alias("repo"), F.col("l_orderkey").alias("commit"), F.col(item).alias("item")).distinct()
+
+
+def changes_by_status(spark: SparkSession, sf_dir: str, item: str = "l_suppkey") -> DataFrame:
+    status = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderstatus").alias("repo"))
+    return changes(spark, sf_dir, item).drop("repo").join(status, "commit").select("repo", "commit", "item")
+
+
+def built(spark: SparkSession, sf_dir: str, item: str = "l_suppkey"):
+    c = changes(spark, sf_dir, item)
+    return graph.node_ids(c), graph.edges(c)
+
+
+# SQL shared by several queries
+CH = "ch AS (SELECT DISTINCT 'all' AS repo, l_orderkey AS c, l_suppkey AS i FROM lineitem)"
+CHP = CH.replace("l_suppkey", "l_partkey")
+CHS = "ch AS (SELECT DISTINCT o_orderstatus AS repo, l_orderkey AS c, l_suppkey AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+ED = "ed AS (SELECT a.repo, a.i AS lo, b.i AS hi, count(*) AS weight FROM ch a JOIN ch b ON a.repo = b.repo AND a.c = b.c AND a.i < b.i GROUP BY 1, 2, 3)"
+NO = "no AS (SELECT repo, i AS item, CAST(row_number() OVER (PARTITION BY repo ORDER BY i) - 1 AS INTEGER) AS node FROM (SELECT DISTINCT repo, i FROM ch))"
+AD = "ad AS (SELECT repo, lo AS node, hi AS other, weight FROM ed UNION ALL SELECT repo, hi, lo, weight FROM ed)"
+DE = "de AS (SELECT n.repo, n.item AS node, count(a.other) AS degree FROM no n LEFT JOIN ad a ON a.repo = n.repo AND a.node = n.item GROUP BY 1, 2)"
+PAR = "cm AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)"
+W = "WITH "
+
+
+def met(table: str, value: str, prefix: str, by: str = "repo") -> str:
+    return f"SELECT {by}, min({value}) AS {prefix}_min, max({value}) AS {prefix}_max, round(avg({value}), 6) AS {prefix}_mean, round(stddev_pop({value}), 6) AS {prefix}_stddev, list_sort(list({value}))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS {prefix}_median FROM {table} GROUP BY {by}"
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits: no parent for a customer's first, two for every seventh key, else one."""
+    from pyspark.sql import Window
+
+    p = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    parents = F.when(F.col("p").isNull(), F.array().cast("array<bigint>")).when(F.col("sha") % 7 == 0, F.array("p", "sha")).otherwise(F.array("p"))
+    return read(spark, sf_dir, "orders").select(F.lit("all").alias("repo"), F.col("o_orderkey").alias("sha"), p.alias("p")).withColumn("parents", parents).drop("p")
+
+
+@query(W + PAR + " SELECT o_orderkey AS sha, p AS parent FROM cm WHERE p IS NOT NULL AND o_orderkey % 7 <> 0")
+def single_parent_filter(spark, sf_dir):
+    return diff.single_parent(commits(spark, sf_dir)).select("sha", "parent")
+
+
+TREE = "tr AS (SELECT l_orderkey AS k, l_partkey AS name, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2), pr AS (SELECT o_orderkey AS c, p FROM cm WHERE p IS NOT NULL AND o_orderkey % 7 <> 0), df AS (SELECT coalesce(n.c, o.c) AS commit, coalesce(n.name, o.name) AS path FROM (SELECT c, name, v FROM pr JOIN tr ON k = c) n FULL JOIN (SELECT c, name, v FROM pr JOIN tr ON k = p) o ON n.c = o.c AND n.name = o.name WHERE n.v IS DISTINCT FROM o.v)"
+
+
+def _tree_changes(spark, sf_dir):
+    pairs = diff.single_parent(commits(spark, sf_dir)).select(F.col("sha").alias("commit"), "parent")
+    tree = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("path")).agg(F.max("l_quantity").alias("v"))
+    return diff.snapshot_diff(pairs, tree, "l_orderkey", "path", "v")
+
+
+@query(W + PAR + ", " + TREE + " SELECT commit, path FROM df")
+def tree_diff(spark, sf_dir):
+    return _tree_changes(spark, sf_dir)
+
+
+@query(W + PAR + ", " + TREE + " SELECT commit, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM df GROUP BY 1")
+def changed_sets(spark, sf_dir):
+    return _tree_changes(spark, sf_dir).groupBy("commit").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
+@query("SELECT r_name AS root, n_name || '/' || s_name AS path, CAST(s_suppkey AS VARCHAR) AS sha FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
+def subtree_expand(spark, sf_dir):
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    n = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    dirs = n.select(F.lit("all").alias("repo"), F.col("r_name").alias("tree_sha"), F.col("n_name").alias("name"), F.lit("DIR").alias("mode"), F.concat(F.lit("n"), "n_nationkey").alias("sha"))
+    files = read(spark, sf_dir, "supplier").select(F.lit("all").alias("repo"), F.concat(F.lit("n"), "s_nationkey").alias("tree_sha"), F.col("s_name").alias("name"), F.lit("BLOB").alias("mode"), F.col("s_suppkey").cast("string").alias("sha"))
+    roots = region.select(F.lit("all").alias("repo"), F.col("r_name").alias("root"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return diff.flatten(dirs.unionByName(files), roots).select("root", "path", "sha")
+
+
+def checkpoint_dir(spark) -> str:
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-")
+
+
+@query(W + CHS + ", " + NO + " SELECT repo, item, node FROM no")
+def node_ids(spark, sf_dir):
+    return graph.node_ids(changes_by_status(spark, sf_dir))
+
+
+@query(W + CH + ", " + ED + " SELECT lo, hi, weight FROM ed")
+def cochange_edges(spark, sf_dir):
+    return built(spark, sf_dir)[1].drop("repo")
+
+
+@query(W + CHS + ", " + ED + " SELECT repo, lo, hi, weight FROM ed")
+def cochange_edges_multi(spark, sf_dir):
+    return graph.edges(changes_by_status(spark, sf_dir))
+
+
+SEG = "ch AS (SELECT DISTINCT n_name AS repo, l_orderkey AS c, l_suppkey AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(W + SEG + ", " + ED + " SELECT repo, count(*) AS num_edges FROM ed GROUP BY 1 HAVING count(*) BETWEEN 10 AND 4000")
+def edge_limit_filter(spark, sf_dir):
+    c = changes(spark, sf_dir).drop("repo")
+    orders, customer, nation = (read(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    named = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("commit"), F.col("n_name").alias("repo"))
+    return graph.edge_limits(graph.edges(graph.within_guard(c.join(named, "commit"), 4000)), 10, 4000)
+
+
+@query(W + CH + ", " + ED + ", " + AD + " SELECT node, other, weight FROM ad")
+def symmetric_adjacency(spark, sf_dir):
+    return graph.adjacency(built(spark, sf_dir)[1]).drop("repo")
+
+
+@query(W + CH + ", " + ED + ", " + AD + " SELECT node, other, weight FROM ad WHERE node < other AND weight > 2")
+def one_direction(spark, sf_dir):
+    return graph.one_direction(graph.adjacency(built(spark, sf_dir)[1])).where("weight > 2").drop("repo")
+
+
+@query(W + CHP + ", " + ED + ", " + AD + ", " + NO + ", " + DE + " SELECT CAST(n.node AS BIGINT) AS node, CAST(sum(d.degree) OVER (ORDER BY n.node) - d.degree AS BIGINT) AS start, CAST(sum(d.degree) OVER (ORDER BY n.node) AS BIGINT) AS stop FROM no n JOIN de d ON d.node = n.item")
+def csr_offsets(spark, sf_dir):
+    nodes, edge = built(spark, sf_dir, "l_partkey")
+    ids = nodes.select("repo", F.col("item").alias("lo"), F.col("node").alias("a"))
+    numbered = edge.join(ids, ["repo", "lo"]).join(ids.select("repo", F.col("lo").alias("hi"), F.col("a").alias("b")), ["repo", "hi"]).select("repo", F.col("a").cast("long").alias("lo"), F.col("b").cast("long").alias("hi"), "weight")
+    return graph.csr_offsets(nodes.withColumn("node", F.col("node").cast("long")), graph.adjacency(numbered)).drop("repo")
+
+
+@query(W + CHP + ", " + ED + ", " + AD + ", " + NO + ", " + DE + " SELECT node, degree FROM de")
+def node_degree(spark, sf_dir):
+    nodes, edge = built(spark, sf_dir, "l_partkey")
+    return _degrees(nodes, edge).select("node", "degree")
+
+
+def _degrees(nodes, edge):
+    return graph.degrees(nodes.select("repo", F.col("item").alias("node")), graph.adjacency(edge))
+
+
+@query(W + CHS + ", " + ED + ", " + AD + ", " + NO + ", " + DE + " " + met("de", "degree", "degree"))
+def degree_metrics(spark, sf_dir):
+    c = changes_by_status(spark, sf_dir)
+    return rounded(stats.metrics(_degrees(graph.node_ids(c), graph.edges(c)), "repo", "degree", "degree"), "degree_mean", "degree_stddev")
+
+
+@query(W + CHS + ", " + ED + " " + met("ed", "weight", "weight"))
+def weight_metrics(spark, sf_dir):
+    return rounded(stats.metrics(graph.edges(changes_by_status(spark, sf_dir)), "repo", "weight", "weight"), "weight_mean", "weight_stddev")
+
+
+GS = f"SELECT s.*, round(num_edges / (num_nodes * (num_nodes - 1)), 9) AS density, d.* EXCLUDE repo, w.* EXCLUDE repo FROM (SELECT n.repo, n.num_nodes, e.num_edges FROM (SELECT repo, count(*) AS num_nodes FROM no GROUP BY 1) n JOIN (SELECT repo, count(*) AS num_edges FROM ed GROUP BY 1) e ON e.repo = n.repo) s JOIN ({met('de', 'degree', 'degree')}) d ON d.repo = s.repo JOIN ({met('ed', 'weight', 'weight')}) w ON w.repo = s.repo"
+
+
+@query(W + ", ".join([CHS, ED, AD, NO, DE]) + " " + GS)
+def graph_stats(spark, sf_dir):
+    c = changes_by_status(spark, sf_dir)
+    nodes, edge = graph.node_ids(c), graph.edges(c)
+    out = stats.graph_stats(nodes, edge, _degrees(nodes, edge))
+    return rounded(out, "degree_mean", "degree_stddev", "weight_mean", "weight_stddev").withColumn("density", F.round("density", 9))
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM events GROUP BY 1")
+def upper_median(spark, sf_dir):
+    return stats.metrics(read(spark, sf_dir, "events"), "event_type", "value", "v").select("event_type", F.col("v_median").alias("median"))
+
+
+@query(W + CHP + ", " + ED + ", " + AD + " SELECT weight, count(*) AS n FROM ad WHERE weight > 2 GROUP BY 1")
+def weight_gt2_histogram(spark, sf_dir):
+    return graph.adjacency(built(spark, sf_dir, "l_partkey")[1]).where("weight > 2").groupBy("weight").agg(F.count("*").alias("n"))
+
+
+def _ranks(bins: int) -> str:
+    return f"SELECT event_type, i, s[greatest(CAST((i * n + {bins} - 1) // {bins} AS BIGINT), 1)] AS q FROM (SELECT event_type, list_sort(list(value)) AS s, count(*) AS n FROM events GROUP BY 1), (SELECT CAST(range AS INTEGER) AS i FROM range(0, {bins} + 1))"
+
+
+@query(_ranks(16))
+def exact_quantiles(spark, sf_dir):
+    return quantiles.quantiles(read(spark, sf_dir, "events"), "event_type", "value", 16)
+
+
+@query(_ranks(100))
+def percentile_table(spark, sf_dir):
+    return quantiles.quantiles(read(spark, sf_dir, "events"), "event_type", "value", 100)
+
+
+@query(f"SELECT * FROM ({_ranks(100)}) WHERE i < 100")
+def percentile_file(spark, sf_dir):
+    return percentile_table(spark, sf_dir).where("i < 100")
+
+
+@query()
+def p2_quantiles(spark, sf_dir):
+    return quantiles.sketch(read(spark, sf_dir, "events"), "event_type", "event_id", "value", 100)
+
+
+@query(W + CH + ", " + NO + " SELECT CAST(node AS VARCHAR) AS name FROM no")
+def gdf_nodes(spark, sf_dir):
+    nodes, edge = built(spark, sf_dir)
+    return graph.gdf(nodes, edge)[0]
+
+
+@query(W + CH + ", " + ED + " SELECT lo AS node1, hi AS node2, CAST(weight AS DOUBLE) AS weight FROM ed")
+def gdf_edges(spark, sf_dir):
+    nodes, edge = built(spark, sf_dir)
+    return graph.gdf(nodes, edge)[1]
+
+
+@query(W + CHS + ", " + ED + " SELECT repo, lo, hi, weight FROM ed WHERE repo = (SELECT DISTINCT repo FROM ed ORDER BY repo LIMIT 1 OFFSET 1)")
+def nth_graph(spark, sf_dir):
+    return graph.nth_graph(graph.edges(changes_by_status(spark, sf_dir)), 1)
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1)")
+def repo_semi_join(spark, sf_dir):
+    jobs = read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(jobs, "source", "left_semi").select("doc_id", "source")
+
+
+M64 = "CAST(18446744073709551616 AS UHUGEINT)"
+PERT = (
+    f"h0 AS (SELECT lo, hi, weight, CAST(lo AS UHUGEINT) * 4294967296 + CAST(hi AS UHUGEINT) AS v FROM ed), "
+    f"h1 AS (SELECT *, CAST((CAST(xor(CAST(v AS UBIGINT), CAST(v AS UBIGINT) >> 30) AS UHUGEINT) * CAST(13787848793156543929 AS UHUGEINT)) % {M64} AS UBIGINT) AS a FROM h0), "
+    f"h2 AS (SELECT *, CAST((CAST(xor(a, a >> 27) AS UHUGEINT) * CAST(10723151780598845931 AS UHUGEINT)) % {M64} AS UBIGINT) AS b FROM h1), "
+    f"h3 AS (SELECT *, xor(b, b >> 31) AS h FROM h2) "
+    f"SELECT lo, hi, weight, weight + CASE WHEN h % 256 < 16 THEN 31 - CAST(floor(log2(CAST(((h >> 8) | 1) % 4294967296 AS DOUBLE))) AS BIGINT) ELSE 0 END AS perturbed FROM h3"
+)
+
+
+@query(W + CHP + ", " + ED + ", " + PERT)
+def perturb_weights(spark, sf_dir):
+    edge = built(spark, sf_dir, "l_partkey")[1]
+    return edge.select("lo", "hi", "weight", hashing.perturb("lo", "hi", "weight").alias("perturbed"))
+
+
+@query(W + CH + ", " + ED + ", " + AD + " SELECT other, weight FROM ad WHERE node = 3 AND other NOT IN (1, 2, 3)")
+def frontier_step(spark, sf_dir):
+    adj = graph.adjacency(built(spark, sf_dir)[1])
+    visited = spark.createDataFrame([("all", 1), ("all", 2), ("all", 3)], "repo string, node long")
+    return sampling.frontier_step(adj, visited, visited.where("node = 3")).drop("repo")
+
+
+def graph_rows(nodes: DataFrame, edge: DataFrame) -> DataFrame:
+    """Rows for the sampler: adjacency by node number, and the node count."""
+    ids = nodes.select("repo", F.col("item").alias("lo"), F.col("node").cast("long").alias("a"))
+    numbered = edge.join(ids, ["repo", "lo"]).join(ids.select("repo", F.col("lo").alias("hi"), F.col("a").alias("b")), ["repo", "hi"]).select("repo", F.col("a").alias("lo"), F.col("b").alias("hi"), "weight")
+    return nodes.groupBy("repo").agg(F.count("*").alias("num_nodes")).join(graph.adjacency(numbered), "repo", "left")
+
+
+@query()
+def neighbourhood(spark, sf_dir):
+    c = changes_by_status(spark, sf_dir)
+    return sampling.instances(graph_rows(graph.node_ids(c), graph.edges(c)), 32)
+
+
+@query(W + CH + ", " + ED + ", ch8 AS (SELECT DISTINCT i FROM ch WHERE i <= 8), " + AD + " SELECT CAST(a.i - 1 AS INTEGER) AS r, CAST(b.i - 1 AS INTEGER) AS c, coalesce(ad.weight, 0) AS weight FROM ch8 a CROSS JOIN ch8 b LEFT JOIN ad ON ad.node = a.i AND ad.other = b.i")
+def instance_matrix(spark, sf_dir):
+    nodes, edge = built(spark, sf_dir)
+    chosen = nodes.where("item <= 8").select("repo", F.col("item").alias("node"))
+    cells = chosen.join(chosen.withColumnRenamed("node", "other"), "repo")
+    return cells.join(graph.adjacency(edge), ["repo", "node", "other"], "left").select((F.col("node") - 1).cast("int").alias("r"), (F.col("other") - 1).cast("int").alias("c"), F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+MAXN = "greatest(1.0, list_max(embedding)::DOUBLE)"
+
+
+@query(f"SELECT vec_id, i, round(2 * ln((abs(v) / {MAXN} + 0.0184841) / 0.0154927) / 4.2991 - 1, 6) + 0.0 AS x FROM (SELECT vec_id, embedding, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)")
+def normalise(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    top = dataset.instance_max(F.col("embedding"))
+    x = F.transform(F.col("embedding"), lambda v: 2 * F.log((F.abs(v.cast("double")) / top - dataset.C3) / dataset.C2) / dataset.C1 - 1)
+    return e.select("vec_id", F.posexplode(x).alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
+
+
+@query(f"SELECT vec_id, round({MAXN}, 6) AS top FROM embeddings")
+def instance_max(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(dataset.instance_max(F.col("embedding")), 6).alias("top"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN toxic = 1 THEN 'perturbed' WHEN quality = 1 THEN 'real' ELSE 'random' END AS kind FROM labels) GROUP BY 1")
+def label_counts(spark, sf_dir):
+    kind = F.when(F.col("toxic") == 1, "perturbed").when(F.col("quality") == 1, "real").otherwise("random")
+    return dataset.data_info(read(spark, sf_dir, "labels").select(kind.alias("kind")))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN -1.0 ELSE 0.0 END::DOUBLE AS y FROM labels")
+def label_encoding(spark, sf_dir):
+    kind = F.when(F.col("quality") == 1, "real").when(F.col("quality") == 0, "random")
+    return read(spark, sf_dir, "labels").select("doc_id", dataset.label(F.coalesce(kind, F.lit(""))).alias("y"))
+
+
+PLACE = "pl AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)"
+
+
+@query(W + PLACE + ", n AS (SELECT count(*) // 32 AS b FROM pl) SELECT vec_id, CASE WHEN place // 32 < b - CAST(floor(0.1 * b) AS BIGINT) THEN 'train' ELSE 'test' END AS part FROM pl, n WHERE place // 32 < b")
+def train_test_split(spark, sf_dir):
+    return dataset.split(dataset.numbered(read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id"), 0.1, 32).select("vec_id", "part")
+
+
+@query(W + PLACE + " SELECT vec_id, CAST(place // 48 AS BIGINT) AS batch_id, CAST(place % 48 AS BIGINT) AS slot FROM pl")
+def rebatch(spark, sf_dir):
+    out = dataset.rebatch(dataset.numbered(read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id"), 48)
+    return out.select("vec_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("slot").cast("long").alias("slot"))
+
+
+@query()
+def shuffle_checksum(spark, sf_dir):
+    e = dataset.shuffled(read(spark, sf_dir, "embeddings"), 7, "vec_id")
+    return e.agg(hashing.shuffle_checksum(F.encode(F.concat_ws(",", F.col("embedding").cast("array<string>")), "UTF-8")).alias("checksum"))
+
+
+@query("SELECT vec_id, round((exp(2 * z / 2) - 1) / (exp(2 * z / 2) + 1), 6) AS y_hat FROM (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * ((i - 1) % 5 - 2) / 10.0)) AS z FROM embeddings)")
+def forward_pass(spark, sf_dir):
+    """A linear output layer with fixed weights and its score."""
+    z = F.aggregate(F.transform(F.col("embedding"), lambda v, i: v.cast("double") * (i % 5 - 2) / 10.0), F.lit(0.0), lambda a, b: a + b)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.tanh(z / 2), 6).alias("y_hat"))
+
+
+SCORED = "sc AS (SELECT d.doc_id, source, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS y, tanh((n_chars - 1500) / 1000.0) AS y_hat, (n_chars - 1500) / 1000.0 AS z FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    z = (F.col("n_chars") - 1500) / 1000.0
+    return read(spark, sf_dir, "documents").select("doc_id", "source", z.alias("z")).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("y"), F.tanh("z").alias("y_hat"), "z")
+
+
+@query(W + SCORED + " SELECT round(avg(ln(1 + exp(-2 * y * z))), 6) AS loss FROM sc WHERE z < 20")
+def bce_loss(spark, sf_dir):
+    return scored(spark, sf_dir).where("z < 20").agg(F.round(F.avg(model.bce(F.col("y"), F.col("z"))), 6).alias("loss"))
+
+
+@query("SELECT label, round(sum(v * v) / 2, 4) AS penalty FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
+def l2_penalty(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("e")).select("label", F.col("e").cast("double").alias("v")).groupBy("label").agg(F.round(F.sum(F.col("v") * F.col("v")) / 2, 4).alias("penalty"))
+
+
+CONF = "cf AS (SELECT count(*) AS n, count(*) FILTER (y_hat > 0) AS pred_pos, count(*) FILTER (NOT y_hat > 0) AS pred_neg, count(*) FILTER (y > 0 AND NOT y_hat > 0) AS fn, count(*) FILTER (y <= 0 AND y_hat > 0) AS fp, sum(0.5 * (y - y_hat) * (y - y_hat)) AS half_sq FROM sc WHERE y <> 0)"
+
+
+@query(W + SCORED + ", " + CONF + " SELECT n, pred_pos, pred_neg, fn, fp, round(half_sq, 4) AS half_sq FROM cf")
+def confusion_counts(spark, sf_dir):
+    return evaluate.confusion(scored(spark, sf_dir)).withColumn("half_sq", F.round("half_sq", 4))
+
+
+@query(W + SCORED + ", " + CONF + ", pr AS (SELECT 1 - fp / pred_pos AS p, 1 - fn / (pred_pos - fp + fn) AS r, fn / pred_neg AS fn_share, fp / pred_pos AS fp_share FROM cf) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(fn_share, 6) AS fn_share, round(fp_share, 6) AS fp_share FROM pr")
+def precision_recall_f1(spark, sf_dir):
+    names = ("precision", "recall", "f1", "fn_share", "fp_share")
+    return rounded(evaluate.rates(evaluate.confusion(scored(spark, sf_dir))).select(*names), *names)
+
+
+CLS = "cl AS (SELECT source, min(y_hat) AS low, max(y_hat) AS high, avg(y_hat) AS mean FROM sc GROUP BY 1)"
+
+
+@query(W + SCORED + ", " + CLS + " SELECT source, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, mean > 0 AS positive FROM cl")
+def classify_agg(spark, sf_dir):
+    return rounded(evaluate.classify(scored(spark, sf_dir), "source"), "low", "high", "mean")
+
+
+@query(W + SCORED + ", " + CLS + " SELECT count(*) FILTER (mean > 0) AS positive, count(*) FILTER (NOT mean > 0) AS negative FROM cl")
+def classify_totals(spark, sf_dir):
+    return evaluate.totals(evaluate.classify(scored(spark, sf_dir), "source"))
+
+
+@query("SELECT s_suppkey AS trial, s_acctbal AS loss, coalesce(s_acctbal < min(s_acctbal) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM supplier")
+def running_best(spark, sf_dir):
+    return evaluate.running_best(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.col("s_acctbal").alias("loss")), "trial", "loss")
+
+
+@query("SELECT CAST(floor(event_id / 100) AS BIGINT) AS range, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def running_mean(spark, sf_dir):
+    return evaluate.running_mean(read(spark, sf_dir, "events"), "event_id", "value", 100).select(F.col("range").cast("long").alias("range"), F.round("mean", 6).alias("mean"))
+
+
+@query("WITH s AS (SELECT min(p_size) AS a, max(p_size) AS b FROM part), g AS (SELECT CAST(range AS INTEGER) AS i, (b - a) * 0.04 AS s, a - 0.05 * (b - a) + 1.1 * (b - a) * range / 199 AS pos FROM s, range(0, 200)) SELECT i, round(pos, 6) AS x, round(sum(exp(-pow((p_size - pos) / s, 2) / 2) * p_retailprice) / sum(exp(-pow((p_size - pos) / s, 2) / 2)), 4) AS y FROM part, g GROUP BY i, pos")
+def kernel_smooth(spark, sf_dir):
+    return evaluate.kernel_smooth(read(spark, sf_dir, "part"), "p_size", "p_retailprice").select("i", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("WITH r AS (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderstatus, o_orderkey, o_totalprice FROM r WHERE n <= 500 OR i = 0 OR (i * 500) // n <> ((i - 1) * 500) // n")
+def even_downsample(spark, sf_dir):
+    return evaluate.even_sample(read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), "o_orderstatus", "o_totalprice", 500, "o_orderkey")
+
+
+@query("SELECT d.doc_id, CAST(n_regionkey AS INTEGER) AS class FROM documents d JOIN (SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) AS source, n_regionkey FROM nation) t ON t.source = d.source")
+def tag_join(spark, sf_dir):
+    tags = read(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"), F.col("n_regionkey").cast("int").alias("class"))
+    return evaluate.tagged(read(spark, sf_dir, "documents").select("doc_id", "source"), tags, "source").select("doc_id", "class")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS rest FROM pages")
+def prefix_strip(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", scalar.strip_prefix(F.col("url"), "https://").alias("rest"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'DIR' WHEN 1 THEN 'BLOB' WHEN 2 THEN 'BLOB_GROUP' WHEN 3 THEN 'BLOB_EXE' WHEN 4 THEN 'BLOB_EXE' WHEN 5 THEN 'SYMLINK' WHEN 6 THEN 'GITLINK' ELSE 'BLOB' END AS mode FROM nation")
+def mode_decode(spark, sf_dir):
+    octal = F.element_at(F.array(*map(F.lit, ["40000", "100644", "100664", "100755", "100777", "120000", "160000", "123456"])), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", scalar.mode_name(octal).alias("mode"))
+
+
+@query("SELECT n_nationkey, sha1('blob ' || strlen(n_name) || chr(0) || n_name) AS sha, substr(sha1('blob ' || strlen(n_name) || chr(0) || n_name), 1, 16) AS prefix FROM nation")
+def sha1_prefix(spark, sf_dir):
+    sha = scalar.object_sha(F.lit("blob"), F.col("n_name").cast("binary"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", sha.alias("sha"), scalar.sha_prefix(sha).alias("prefix"))
+
+
+@query("SELECT o_orderkey, TRY_CAST(CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN CAST(o_orderkey AS VARCHAR) || '.5' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) || 'e2' ELSE 'x' || CAST(o_orderkey AS VARCHAR) END AS DOUBLE) AS value FROM orders")
+def parse_number(spark, sf_dir):
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.concat(key.cast("string"), F.lit(".5"))).when(key % 4 == 2, F.concat(key.cast("string"), F.lit("e2"))).otherwise(F.concat(F.lit("x"), key.cast("string")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.try_number(text).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n < 1000 THEN format('{} B', n) WHEN n < 1024000 THEN printf('%.1f KiB', round(n / 1024.0, 1)) WHEN n < 1048576000 THEN printf('%.1f MiB', round(n / 1048576.0, 1)) ELSE printf('%.1f GiB', round(n / 1073741824.0, 1)) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)")
+def nice_bytes(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.nice_bytes(F.col("o_orderkey") * F.col("o_orderkey")).alias("size"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s < 0.0000001 THEN printf('%.1f ns', s) WHEN s < 0.1 THEN printf('%.1f ms', round(s * 1000, 1)) WHEN s < 120 THEN printf('%.1f s', round(s, 1)) WHEN s < 7200 THEN printf('%.1f min', round(s * (1 / 60), 1)) ELSE printf('%.1f h', round(s / 3600, 1)) END AS time FROM (SELECT s_suppkey, s_suppkey * s_suppkey / 100.0::DOUBLE AS s FROM supplier)")
+def nice_time(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", scalar.nice_time(F.col("s_suppkey") * F.col("s_suppkey") / F.lit(100.0)).alias("time"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') AS stamp FROM orders")
+def date_string(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.date_string(F.col("o_orderdate")).alias("stamp"))
+
+
+@query()
+def random_graph(spark, sf_dir):
+    c = sampling.random_changes(spark, 4, seed=1).where("num_nodes < 200000").select("repo", "commit", "item").distinct()
+    return graph.edges(graph.within_guard(c, 200_000)).groupBy("repo").agg(F.count("*").alias("num_edges"), F.sum("weight").alias("weight"))
+
+
+@query("SELECT CAST(range AS BIGINT) AS epoch, round(0.1 * pow(0.5, floor(range / 7)), 9) AS rate FROM range(0, 60)")
+def lr_schedule(spark, sf_dir):
+    return spark.range(60).select(F.col("id").alias("epoch"), F.round(evaluate.schedule(F.col("id"), 0.1, 7), 9).alias("rate"))
