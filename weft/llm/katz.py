@@ -27,24 +27,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import written
+from .store import release, written
 
-START, END = K.U(0x53A7C1D2E4F60B19), K.U(0x1E9D58B3C6274FA1)
+#: Words are 56-bit hashes: the low byte of all is 0.
+WORD_BITS = K.U(0xFFFFFFFFFFFFFF00)
+START, END = K.U(0x53A7C1D2E4F60B00), K.U(0x1E9D58B3C6274F00)
 DELTA = 0.1
 #: Counts up to the cutoff are discounted by Good-Turing.
 CUTOFF = 5
 #: Bytes of text for each bucket, and in each block.
-PER_BUCKET, BLOCK = 16 << 20, 16 << 20
+PER_BUCKET, BLOCK = 16 << 20, 12 << 20
 #: A word is hot with this share of all tokens at least; there are at most 1 / HOT such words.
 HOT = 1 / 2000
 
 BLOB = "kind int, part long, body binary"
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """The bytes of an array; of eight-byte numbers all first bytes, all second bytes and so on, as sorted and close numbers compress so."""
+    v = np.ascontiguousarray(v)
+    return v.view(np.uint8).reshape(-1, 8).T.tobytes() if v.dtype.itemsize == 8 else v.tobytes()
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     """Named arrays in one compressed blob."""
     head = ";".join(f"{k},{v.dtype.str},{len(v)}" for k, v in arrays.items()).encode()
-    body = len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values())
+    body = len(head).to_bytes(4, "little") + head + b"".join(_planes(v) for v in arrays.values())
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -53,7 +61,11 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     n = int.from_bytes(body[:4], "little")
     out, at = {}, 4 + n
     for name, dtype, size in (x.split(",") for x in body[4 : 4 + n].decode().split(";")):
-        out[name] = np.frombuffer(body, dtype=np.dtype(dtype), count=int(size), offset=at)
+        kind, size = np.dtype(dtype), int(size)
+        if kind.itemsize == 8:
+            out[name] = np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8, count=8 * size, offset=at).reshape(8, size).T).reshape(-1).view(kind)
+        else:
+            out[name] = np.frombuffer(body, dtype=kind, count=size, offset=at)
         at += out[name].nbytes
     return out
 
@@ -74,6 +86,12 @@ def _group(part: np.ndarray, n_parts: int):
     return order, parts, np.append(edge, len(part))
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and each value's place among them."""
+    values, at = np.unique(x, return_inverse=True)
+    return values, at.astype(np.int32)
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> K.U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
 
@@ -83,7 +101,7 @@ def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     low = K.LOWER[raw]
     starts, ends = K.runs(~K.SPACE[low], off)
     first, _ = K.doc_of(starts, off)
-    h = np.insert(K.hash_slices(low, starts, ends), first[1:], END)
+    h = np.insert(K.hash_slices(low, starts, ends) & WORD_BITS, first[1:], END)
     first = first + np.arange(len(first))
     return h, np.repeat(np.arange(len(off) - 1), np.diff(first)), first
 
@@ -112,7 +130,7 @@ def unigrams(texts: DataFrame, bits: int) -> DataFrame:
         n = np.bincount(inverse, weights=np.concatenate([g["n"] for g in got])).astype(np.int64)
         return pa.Table.from_arrays([table.column("part").slice(0, 1), pa.array([_pack(w=words, n=n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(n)]), pa.array([np.bincount(np.minimum(n, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()], pa.list_(pa.int64()))], names=["part", "body", "total", "types", "of_count"])
 
-    return texts.mapInArrow(run, BLOB).groupBy("part").applyInArrow(merge, "part long, body binary, total long, types long, of_count array<long>")
+    return texts.mapInArrow(run, BLOB).groupBy("part").applyInArrow(K.trimmed(merge), "part long, body binary, total long, types long, of_count array<long>")
 
 
 def discounts(of_count: list[int]) -> np.ndarray:
@@ -169,13 +187,14 @@ def pairs(texts: DataFrame, bits: int, uni: Unigram) -> DataFrame:
             h, doc, first = tokens(raw, off)
             before = np.concatenate([[START], h[:-1]]).astype(K.U)
             before[first[:-1]] = START
-            words, code = np.unique(h, return_inverse=True)
-            histories, past = np.unique(before, return_inverse=True)
+            words, code = _numbered(h)
+            histories, past = _numbered(before)
             hot, _ = uni.is_hot(words)
-            part = _bucket(words, bits)[code]
+            part = _bucket(words, bits).astype(np.int32)[code]
             spread = hot[code]
             part[spread] = _bucket(K.mix(h[spread] ^ K.mix(before[spread])), bits)
             order, parts, at = _group(part, n_parts)
+            del h, before, part, spread
             out = []
             for p, a, b in zip(parts, at[:-1], at[1:], strict=True):
                 mine = order[a:b]
@@ -216,20 +235,21 @@ def counted(blobs: DataFrame, bits: int, uni: Unigram) -> DataFrame:
         if part < 0:
             return table
         got = [_unpack(x) for x in table.column("body").to_pylist()]
-        words, w_all = np.unique(np.concatenate([g["w"] for g in got]), return_inverse=True)
-        histories, h_all = np.unique(np.concatenate([g["h"] for g in got]), return_inverse=True)
+        words, w_all = _numbered(np.concatenate([g["w"] for g in got]))
+        histories, h_all = _numbered(np.concatenate([g["h"] for g in got]))
         w_id, h_id, doc, learn, row_of = [], [], [], [], []
         w_at = h_at = n_docs = 0
         for g in got:
             w_id.append(np.repeat(w_all[w_at : w_at + len(g["w"])], g["run"]))
             h_id.append(h_all[h_at : h_at + len(g["h"])][g["past"]])
-            local, where = np.unique(g["doc"], return_inverse=True)
-            doc.append(where + n_docs)
+            local, where = _numbered(g["doc"])
+            doc.append(where + np.int32(n_docs))
             flags = np.unpackbits(g["learn"])[local].astype(bool)
             learn.append(flags)
             row_of.append(g["base"][0] + local.astype(np.int64))
             w_at, h_at, n_docs = w_at + len(g["w"]), h_at + len(g["h"]), n_docs + len(local)
         w_id, h_id, doc, learn, row_of = (np.concatenate(x) for x in (w_id, h_id, doc, learn, row_of))
+        del got, w_all, h_all
         train = learn[doc]
         hot, hot_at = uni.is_hot(words)
         c_word = np.bincount(w_id, weights=train, minlength=len(words)).astype(np.int64)
@@ -240,8 +260,10 @@ def counted(blobs: DataFrame, bits: int, uni: Unigram) -> DataFrame:
         s = key[order]
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         c_pair = np.add.reduceat(train[order].astype(np.int64), edge)
-        of = np.empty(len(key), dtype=np.int64)
-        of[order] = np.repeat(c_pair, np.diff(np.append(edge, len(s))))
+        of = np.empty(len(key), dtype=np.int32)
+        of[order] = np.repeat(c_pair.astype(np.int32), np.diff(np.append(edge, len(s))))
+        at = order[edge]
+        del key, s, order
         c2, seen = c_word[w_id], of > 0
         p_word = uni.prob(c_word)
         log_word = np.log10(p_word)
@@ -255,7 +277,7 @@ def counted(blobs: DataFrame, bits: int, uni: Unigram) -> DataFrame:
         per = lambda x: np.bincount(doc, weights=x, minlength=n_docs)
         out = _by_doc(row_of, n_parts, SUMS, base=per(np.log10(c2 + 0.5)), score=per(value), known=_narrow(per(c2 > 0)), **{f"r{r}": _narrow(per(of == r)) for r in range(1, CUTOFF + 1)})
 
-        at = order[edge]
+        del value, c2
         here = c_pair > 0
         h_of, c_of, p_of = h_id[at][here], c_pair[here], p_word[w_id[at][here]]
         by = lambda x: np.bincount(h_of, weights=x, minlength=len(histories))
@@ -276,7 +298,7 @@ def counted(blobs: DataFrame, bits: int, uni: Unigram) -> DataFrame:
         out.append((STATS, part, _pack(n=of_count)))
         return pa.Table.from_batches([_batch(out)])
 
-    return blobs.groupBy("part").applyInArrow(run, BLOB)
+    return blobs.groupBy("part").applyInArrow(K.trimmed(run), BLOB)
 
 
 def _history(got: list[dict], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +333,7 @@ def answers(table: DataFrame, bits: int, d: np.ndarray, hot: tuple[np.ndarray, n
         who, inverse = np.unique(np.concatenate(rows), return_inverse=True)
         return pa.Table.from_batches([_batch(_by_doc(who, n_parts, WEIGHT, score=np.bincount(inverse, weights=np.concatenate(logs))))])
 
-    return table.where(F.col("kind").isin(HISTORY, ASK, ASK_HOT)).groupBy("part").applyInArrow(run, BLOB)
+    return table.where(F.col("kind").isin(HISTORY, ASK, ASK_HOT)).groupBy("part").applyInArrow(K.trimmed(run), BLOB)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -338,7 +360,7 @@ def scores(blobs: DataFrame, uni: Unigram, d: np.ndarray) -> DataFrame:
         base -= fact["n"] * math.log10(uni.total + 0.5 * (uni.types + 1))
         return pa.Table.from_arrays([pa.array(fact["id"], mask=fact["null"]), pa.array(~fact["learn"]), pa.array(fact["n"]), pa.array(known.astype(np.int64)), pa.array(np.full(n, uni.total, dtype=np.int64)), pa.array(base), pa.array(score)], names=[x.split(" ")[0] for x in RESULT.split(", ")])
 
-    return blobs.groupBy("part").applyInArrow(run, RESULT)
+    return blobs.groupBy("part").applyInArrow(K.trimmed(run), RESULT)
 
 
 def katz_scores(docs: DataFrame, learn=None) -> DataFrame:
@@ -355,6 +377,7 @@ def katz_scores(docs: DataFrame, learn=None) -> DataFrame:
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
     texts = _texts(docs, learn)
     counts = written(unigrams(texts, bits), "unigrams")
+    release(spark)
     sums = counts.agg(F.sum("total"), F.sum("types"), *(F.sum(F.col("of_count")[r]) for r in range(CUTOFF + 1))).first()
     n, types, of_count = sums[0] or 0, sums[1] or 0, [x or 0 for x in sums[2:]]
 
@@ -368,7 +391,7 @@ def katz_scores(docs: DataFrame, learn=None) -> DataFrame:
     hot = {int(np.int64(r.w).view(K.U)): r.n for r in counts.select("body").mapInArrow(often, "w long, n long").collect()}  # at most 1 / HOT words, and END
     uni = Unigram(n, types, of_count, types - sum(of_count[:CUTOFF]), hot, hot.get(int(END), 0))
     table = written(counted(pairs(texts, bits, uni), bits, uni), "ngrams")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now a table
+    release(spark)
 
     of_pairs = np.zeros(CUTOFF + 1, dtype=np.int64)
     for r in table.where(F.col("kind") == STATS).select("body").toLocalIterator():  # one small row a bucket

@@ -6,6 +6,8 @@ bounded by the larger of a block and the longest document.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trimmed(f):
+    """f, followed by trim()."""
+
+    @functools.wraps(f)
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            trim()
+
+    return run
+
+
 def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets (from 0) of a string column; null is the empty text."""
     if column.null_count:
@@ -56,6 +71,15 @@ def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - first
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker that waits for its next task should not hold what its last one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in slices of whole documents: the slice, its bytes, its offsets."""
     for batch in batches:
@@ -67,6 +91,7 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tu
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    trim()
 
 
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
