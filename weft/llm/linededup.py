@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import written
+from .store import release, written
 
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 #: Bits of the sieve that lets through the lines with a shared half: a fixed size, whatever the input; a full sieve costs time, not results.
 SIEVE_BITS = 1 << 25
+#: A line is hot if more than one in so many of all lines are its copies.
+HOT_LINES = 2000
 
 
 class Sums:
@@ -209,9 +211,16 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """
     table = written(line_keys(docs, min_words), "line-keys")
     distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
-    near = near_lines(docs, distinct)
-    classes = distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best")
-    hit = table.select("row", "doc_id", "line", "h").join(classes, "h").where("best is not null or not (row = id.row and line = id.line)")
+    release(docs.sparkSession)
+    near = written(near_lines(docs, distinct), "near")
+    release(docs.sparkSession)
+    classes = written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies"), "classes")
+    lines = table.select("row", "doc_id", "line", "h")
+    # lines with so many copies are HOT_LINES at most, so they are broadcast; the copies of any other fit in a task
+    often = max(1000, lines.count() // HOT_LINES)
+    hot, cold = F.broadcast(classes.where(F.col("copies") > often)), classes.where(F.col("copies") <= often)
+    both = lines.join(hot, "h").unionByName(lines.join(hot.select("h"), "h", "left_anti").join(cold, "h"))
+    hit = both.where("best is not null or not (row = id.row and line = id.line)")
     kept = F.coalesce("best", "id")
     return hit.select("row", "doc_id", "line", kept.getField("doc_id").alias("kept_doc_id"), kept.getField("line").alias("kept_line"), F.when(F.col("best").isNull(), 0).otherwise(1).alias("edits"))
 
