@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -176,19 +177,21 @@ def best_fit(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
 def completion(lengths: list[int], left: dict[int, int], room: int, effort: int = 400) -> list[int]:
     """The filling of room with the least waste, from lengths (ascending) of which left[n] are there.
 
-    Branch and bound over fillings in descending order of length. A branch is cut when even a full room could not beat
-    the incumbent. A filling is dominated, and not taken, if one of its items could give way to a longer one that still
-    fits; among equal wastes the one with the longer items stays. effort bounds the nodes looked at; the incumbent
+    Branch and bound over fillings in descending order of length. A branch is cut when all
+    items that it may still take would leave no less waste than the incumbent. A filling is dominated if one of its items
+    could give way to a longer one that still fits; it leaves more waste than that one, which comes first, so it is never
+    taken, and among equal wastes the one with the longer items stays. effort bounds the nodes looked at; the incumbent
     (best-fit at first) is a filling in any case.
     """
     best = best_fit(lengths, left, room)
     waste = room - sum(best)
     nodes = 0
+    total = list(accumulate(n * left[n] for n in lengths))  # of all items up to each length
 
     def grow(chosen: list[int], used: dict[int, int], rest: int, top: int) -> None:
         nonlocal best, waste, nodes
         i = min(top, bisect_right(lengths, rest) - 1)
-        while i >= 0 and waste > 0 and nodes < effort:
+        while i >= 0 and waste > 0 and nodes < effort and rest - total[i] < waste:
             n = lengths[i]
             if left[n] - used.get(n, 0) > 0:
                 nodes += 1
@@ -199,8 +202,6 @@ def completion(lengths: list[int], left: dict[int, int], room: int, effort: int
                     used[n] = used.get(n, 0) + 1
                     grow([*chosen, n], used, after, i)
                     used[n] -= 1
-                elif after >= waste:
-                    return  # shorter items leave more waste still
             i -= 1
 
     if waste > 0 and lengths:
