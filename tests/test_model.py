@@ -30,7 +30,7 @@ def test_training_learns(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) + (1 if i % 2 else -1) for v in rng.normal(size=8)], 1.0 if i % 2 else -1.0) for i in range(200)]
     df = spark.createDataFrame([*rows, (999, [0.0] * 8, 0.0)], "instance_id long, x array<double>, y double")
-    p, losses = model.train(df, h, epochs=30)
+    p, losses = model.train(df, h, epochs=8, start={k: 12 * v for k, v in model.init(h).items()})
     assert losses[-1] < losses[0]
     model.save(spark, p, str(tmp_path / "p"))
     again = model.load(spark, str(tmp_path / "p"))

@@ -107,10 +107,10 @@ def rate(h: Hyper, epoch: int) -> float:
     return h.learning_rate * 0.5 ** (epoch // h.decay) if h.decay else h.learning_rate
 
 
-def train(instances: DataFrame, h: Hyper, epochs: int = 10) -> tuple[Params, list[float]]:
+def train(instances: DataFrame, h: Hyper, epochs: int = 10, start: Params | None = None) -> tuple[Params, list[float]]:
     """Gradient descent, one step an epoch and shard of ``batch_count``: executors sum gradients over their rows, the driver adds
-    one small table a step and updates. Unlabelled instances (y = 0) are skipped. Returns parameters and the loss of each step."""
-    p, losses = init(h), []
+    one small table a step and updates. Unlabelled instances (y = 0) are skipped; start continues from saved parameters. Returns parameters and the loss of each step."""
+    p, losses = start or init(h), []
     total = sum(v.size for v in p.values())
     names = list(p)
     labelled = instances.where("y <> 0").withColumn("shard", F.pmod(F.xxhash64("instance_id"), F.lit(h.batch_count))).select("shard", "x", "y").cache()
