@@ -36,7 +36,7 @@ DELTA = 0.1
 #: Counts up to the cutoff are discounted by Good-Turing.
 CUTOFF = 5
 #: Bytes of text for each bucket, and in each block.
-PER_BUCKET, BLOCK = 16 << 20, 12 << 20
+PER_BUCKET, BLOCK = 16 << 20, 8 << 20
 #: A word is hot with this share of all tokens at least; there are at most 1 / HOT such words.
 HOT = 1 / 2000
 
