@@ -7,10 +7,11 @@ that is verified pair by pair, so no link between different sets is lost.
 The steps: 1. Words of k become 64-bit tokens. 2. Tokens that no second document has cannot link anything: tokens travel
 once, packed in blobs by hash bucket, and only shared ones come back, packed by document. Tokens of a large share of all
 documents ("hot") are known beforehand and stay with their documents. 3. Equal sets collapse into one. 4. By the prefix
-rule with tokens in order of rareness, two similar sets share one of their rarest tokens; the first document of each
-such token is a centre, each document is verified against the centre it meets most, and the components of these links
-are the groups. 5. The matrix of rare tokens and groups yields the queries that meet another group; the bound is computed
-on all their shared tokens; groups above it are opened.
+rule with tokens in order of rareness, two similar sets share one of their rarest tokens; the document of each
+such token whose tokens are the commonest is its centre, each document is verified against the centre it meets most, and the components of these links
+are the groups. 5. The prefix is long enough to hold several of the rarest tokens that two similar sets have in common.
+The matrix has the union of each group's prefixes; a query's overlap with it, on its own prefix, must reach that number,
+or the group stays closed. Of an opened group the documents that meet the query as often are verified.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .store import without_ids, written
+from .store import release, without_ids, written
 
 #: Bytes of text for each bucket of tokens and each group of documents.
-PER_BUCKET = 1 << 20
+PER_BUCKET = 2 << 20
 #: Bits of a token beside those of its bucket.
 REST_BITS = 40
 #: A token is hot if a block of texts has it in HOT_SHARE of its documents, HOT_LEAST at least, and all blocks in HOT_TOTAL.
@@ -181,7 +182,7 @@ def shared_only(blobs: DataFrame, bits: int) -> DataFrame:
         out = [(-1 - int(p), 1, rows[a:b].tobytes(), tokens[a:b].tobytes(), df[a:b].tobytes()) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)]
         return pa.Table.from_batches([_blob_batch(out)])
 
-    return blobs.groupBy("part").applyInArrow(run, BLOB)
+    return blobs.groupBy("part").applyInArrow(K.trimmed(run), BLOB)
 
 
 def need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -189,7 +190,28 @@ def need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-SETS = "row long, doc_id long, size long, s1 long, s2 long, tokens binary, prefix array<long>"
+def extra(needed: np.ndarray) -> np.ndarray:
+    """Tokens that the prefix has beyond the one that the prefix rule asks for, and that one: a tenth of the overlap needed."""
+    return np.maximum(1, -(-needed // 10))
+
+
+def _rest(size: str, percent: int) -> str:
+    """SQL: how many of a set's shared tokens are not in its prefix."""
+    needed = f"(({size} * {percent} + 99) div 100)"
+    return f"({needed} - greatest(1, ({needed} + 9) div 10))"
+
+
+def least_meetings(a: str, b: str, percent: int) -> str:
+    """SQL: how many tokens two similar sets of these sizes have in both prefixes at least.
+
+    Their overlap is percent / (100 + percent) of both sizes; of the set whose prefix ends earlier, only the rest can
+    hold common tokens that are not in both prefixes.
+    """
+    overlap = f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+    return f"greatest(1, {overlap} - greatest({_rest(a, percent)}, {_rest(b, percent)}))"
+
+
+SETS = "row long, doc_id long, size long, s1 long, s2 long, tokens binary, prefix array<long>, fame long"
 
 
 def sets(blobs: DataFrame, percent: int) -> DataFrame:
@@ -216,20 +238,23 @@ def sets(blobs: DataFrame, percent: int) -> DataFrame:
         n = np.bincount(at, minlength=len(facts))
         least = need(facts["size"], percent)
         able = (facts["size"] > 0) & (n >= least)
+        more = extra(least)
         keep = able[at]
         at, tokens, df = at[keep], tokens[keep], df[keep]
         order = np.lexsort((tokens, df, at))
         at, tokens = at[order], tokens[order]
         first = np.searchsorted(at, np.arange(len(facts) + 1))
+        # how common a document's tokens are: the text that others were made from ranks above them
+        fame = np.bincount(at, weights=df.astype(np.float64)[order], minlength=len(facts)) * 1000 / np.maximum(facts["size"], 1)
         body, prefix = [], []
         for i in range(len(facts)):
             mine = tokens[first[i] : first[i + 1]]
             body.append(np.sort(mine).tobytes() if able[i] else None)
-            prefix.append(mine[: len(mine) - least[i] + 1].view(np.int64) if able[i] else None)
+            prefix.append(mine[: len(mine) - least[i] + more[i]].view(np.int64) if able[i] else None)
         doc = pa.array(facts["doc"], mask=facts["null"])
-        return pa.Table.from_arrays([pa.array(facts["row"]), doc, pa.array(facts["size"]), pa.array(facts["s1"].view(np.int64)), pa.array(facts["s2"].view(np.int64)), pa.array(body, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["row", "doc_id", "size", "s1", "s2", "tokens", "prefix"])
+        return pa.Table.from_arrays([pa.array(facts["row"]), doc, pa.array(facts["size"]), pa.array(facts["s1"].view(np.int64)), pa.array(facts["s2"].view(np.int64)), pa.array(body, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(fame.astype(np.int64))], names=["row", "doc_id", "size", "s1", "s2", "tokens", "prefix", "fame"])
 
-    return blobs.where("part < 0").groupBy("part").applyInArrow(run, SETS)
+    return blobs.where("part < 0").groupBy("part").applyInArrow(K.trimmed(run), SETS)
 
 
 def similar(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
@@ -264,14 +289,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     texts = _texts(docs, id_col, text_col)
     blobs = outgoing(texts, k, bits, hot_tokens(texts, k))
     table = written(sets(shared_only(blobs, bits), percent), "sets")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now a table
+    release(spark)
 
     # equal sets are one
     heads = table.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("row").alias("head"), F.min("doc_id").alias("least_id"))
     able = written(table.where("tokens is not null").join(heads.select(F.col("head")), F.col("row") == F.col("head"), "left_semi"), "able")
 
-    rare = able.select("row", "size", F.explode("prefix").alias("token"))
-    centre = rare.groupBy("token").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1")
+    rare = able.select("row", "size", "fame", F.explode("prefix").alias("token"))
+    centre = rare.groupBy("token").agg(F.max(F.struct("fame", F.expr("-row").alias("b"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("token", F.expr("-top.b").alias("b"))
     votes = rare.join(centre, "token").where("row <> b").groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("n"))
     star = votes.groupBy("a").agg(F.max(F.struct("n", F.expr("-b").alias("b"))).alias("top")).select("a", F.expr("-top.b").alias("b"))
     links = written(similar(star, able, percent), "links")
@@ -281,12 +306,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     grouped = written(rare.join(groups, rare["row"] == groups["node"], "left").select("token", "row", "size", group), "matrix")
     open_tokens = grouped.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
     matrix = grouped.join(open_tokens, "token", "left_semi")
-    meets = written(matrix.select("token", "row", "size", "g").join(matrix.select("token", F.col("g").alias("other")).distinct(), "token").where("g <> other").groupBy("row", "size", "other").agg(F.count("*").alias("n")), "meets")
-    qualifying = bound(meets, able, groups, percent)
+    overlap = matrix.select("token", "row", "size", "g").join(matrix.select("token", F.col("g").alias("other")).distinct(), "token").where("g <> other").groupBy("row", "size", "other").agg(F.count("*").alias("n"))
+    # over the sizes that similar members of the group can have, the bound is least at an end; 2 make up for rounding
+    sizes = grouped.groupBy(F.col("g").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    reach = overlap.join(sizes, "other").withColumns({"low": F.expr(f"greatest(low, size * {percent} div 100)"), "high": F.expr(f"least(high, size * 100 div {percent} + 1)")})
+    met = F.expr(f"low <= high and n + 2 >= least({least_meetings('size', 'low', percent)}, {least_meetings('size', 'high', percent)})")
+    qualifying = written(reach.where(met).select("row", "other"), "open")
     # a pair is met from both sides; the bound of either is enough to drop it, so the one with the lesser row asks
-    asked = matrix.join(qualifying, "row").select("token", F.col("row").alias("a"), "other")
-    pairs = asked.join(matrix.select("token", F.col("row").alias("b"), F.col("g").alias("other")), ["token", "other"]).where("a < b").select("a", "b").distinct()
-    more = similar(pairs, able, percent)
+    asked = matrix.join(qualifying, "row").select("token", F.col("row").alias("a"), F.col("size").alias("size_a"), "other")
+    members = matrix.select("token", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("g").alias("other"))
+    counted = asked.join(members, ["token", "other"]).where("a < b").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    pairs = counted.where(f"n >= {least_meetings('size_a', 'size_b', percent)}").select("a", "b")
+    more = written(similar(pairs, able, percent), "more")
+    release(spark)
     final = components(links.unionByName(more))
 
     classes = heads.join(final, heads["head"] == final["node"], "left").withColumn("label", F.coalesce("label", "head"))
@@ -304,29 +336,3 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """
     gone = jaccard_components(docs, **kw).where("doc_id <> component_id").select("doc_id")
     return without_ids(docs, gone, "doc_id")
-
-
-def _tokens(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The column tokens spelled out, one row a token."""
-    schema = ", ".join([*(f"{c} long" for c in keep), "token long"])
-
-    def run(batches):
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                some = batch.slice(part, 1000)
-                body = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in some.column(len(keep))]
-                take = pa.array(np.repeat(np.arange(len(body)), [len(x) for x in body]))
-                yield pa.RecordBatch.from_arrays([*(some.column(i).take(take) for i in range(len(keep))), pa.array(np.concatenate(body))], names=[*keep, "token"])
-
-    return df.select(*keep, "tokens").mapInArrow(run, schema)
-
-
-def bound(meets: DataFrame, able: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Rows (row, other): queries whose overlap with the token union of the group reaches what their size asks for."""
-    needed = F.ceil(F.col("size") * percent / 100)
-    queries = _tokens(able.join(meets.select("row").distinct(), "row", "left_semi"), ["row"])
-    wanted = meets.select(F.col("other").alias("g")).distinct()
-    member = able.join(groups, able["row"] == groups["node"], "left").select(F.coalesce("label", "row").alias("g"), "tokens").join(wanted, "g", "left_semi")
-    union = _tokens(member, ["g"]).distinct()
-    overlap = meets.join(queries, "row").join(union.withColumnRenamed("g", "other"), ["token", "other"]).groupBy("row", "other", "size").agg(F.count("*").alias("overlap"))
-    return overlap.where(F.col("overlap") >= needed).select("row", "other")
