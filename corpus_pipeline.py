@@ -22,7 +22,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, to one word, go; so do documents with nothing else."""
-    return linededup.without_lines(docs, linededup.duplicate_lines(docs))
+    return linededup.deduped(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,15 @@ def test_line_dedup(spark, odd):
     assert linededup.duplicate_lines(odd).count() >= 2
 
 
+def test_line_dedup_keeps_one_of_repeated_rows(spark):
+    """The lines that go are those of one row: not of all rows with its id, and of rows without an id as well."""
+    text = "\n".join(f"line {i} of the text" for i in range(3))
+    data = [(7, text), (7, text), (8, "only here"), (8, "line 0 of the text\nother words"), (None, "no id"), (None, "no id")]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in linededup.deduped(d).collect()), key=key)
+    assert got == sorted([(7, text), (8, "only here"), (8, "other words"), (None, "no id")], key=key)
+
+
 def test_line_dedup_of_documents(docs):
     data = [(r.doc_id, r.text) for r in rows(docs)]
     assert sorted(map(tuple, linededup.duplicate_lines(docs).drop("row").collect()), key=key) == lines_by_force(data)

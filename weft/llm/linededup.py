@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import release, written
+from .store import ROW, numbered, release, written
 
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
@@ -63,8 +63,12 @@ def _lines(raw: np.ndarray, off: np.ndarray):
     return doc[edge], number[edge], edge, np.append(edge[1:], len(starts)) if len(edge) else edge, K.hash_slices(low, starts, ends)
 
 
+def _row(docs: DataFrame) -> F.Column:
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+
+
 def _chosen(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
@@ -226,18 +230,24 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, broadcast_lines: int = 1_000_000) -> DataFrame:
-    """docs without the lines (doc_id, line) of gone, n_chars counted anew; documents that lose their last word go.
+    """docs without the lines (row, line) of gone, n_chars counted anew; documents that lose their last word go.
 
-    Rows with the same id lose the same lines. Up to broadcast_lines lines are broadcast (some ten bytes each), more are
-    joined by a shuffle.
+    gone is of duplicate_lines(docs). Where docs is not of numbered(), its rows must come in one order whenever it is
+    read. Up to broadcast_lines lines are broadcast (some ten bytes each), more are joined by a shuffle.
     """
-    gone = written(gone.where("doc_id is not null").select("doc_id", "line"), "gone-lines")
-    lists = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    gone = written(gone.select("row", "line"), "gone-lines")
+    lists = gone.groupBy(F.col("row").alias("_id")).agg(F.collect_set("line").alias("_gone"))
     if gone.count() <= broadcast_lines:
         lists = F.broadcast(lists)
     text = F.expr("if(_gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n'))")
-    out = docs.join(lists, docs["doc_id"] == lists["_id"], "left").withColumn("text", text)
+    out = docs.withColumn(ROW, _row(docs)).join(lists, F.col(ROW) == F.col("_id"), "left").withColumn("text", text)
     out = out.where("_gone is null or text rlike '[^ \\\\t-\\\\r]'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
+
+
+def deduped(docs: DataFrame, **kw) -> DataFrame:
+    """docs without the lines that duplicate_lines() names: of rows that repeat each other, the first keeps its lines."""
+    table = numbered(docs, "rows")
+    return without_lines(table, duplicate_lines(table, **kw)).drop(ROW)

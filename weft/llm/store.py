@@ -28,6 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that numbered() adds.
+ROW = "__weft_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs as a written table with a number for each row in ROW: however often it is read, a row keeps its number."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are done: it does so once neither Python nor the JVM refers to them."""
     for _ in range(2):  # what the first round frees may hold on to more
