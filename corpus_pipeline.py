@@ -21,8 +21,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, to one word, go; so do documents with nothing else."""
-    return linededup.deduped(docs)
+    """Lines that repeat an earlier line, to one word or one in 20, go; so do documents with nothing else."""
+    return linededup.deduped(docs, words_an_edit=20)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

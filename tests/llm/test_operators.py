@@ -183,6 +183,38 @@ def test_line_dedup_keeps_one_of_repeated_rows(spark):
     assert got == sorted([(7, text), (8, "only here"), (8, "other words"), (None, "no id")], key=key)
 
 
+def edits_by_force(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_by_length(spark):
+    """Edits in proportion to the length, also where an earlier line of another kind holds the same words in a row."""
+    import random
+
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(20)]
+    base = [[*(f"b{g}w{i}" for i in range(n)), *shared] for g, n in enumerate((18, 19, 25, 40, 61, 100))]
+    data = []
+    for i in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(w) // 20 + 2)):
+            at, new = rng.randrange(len(w)), f"e{rng.randrange(10**6)}"
+            w[at : at + rng.randint(0, 1)] = rng.choice(([new], []))
+        data.append((i, " ".join(w)))
+    got = linededup.duplicate_lines(spark.createDataFrame(data, "doc_id long, text string"), words_an_edit=20).collect()
+    words = [t.split() for _, t in data]
+    bound = lambda i, j: max(1, max(len(words[i]), len(words[j])) // 20)
+    away = {(i, j): edits_by_force(words[i], words[j]) for i in range(len(data)) for j in range(i)}
+    assert {r.doc_id for r in got} == {i for (i, j), n in away.items() if n <= bound(i, j)}
+    assert all(r.kept_doc_id < r.doc_id and away[r.doc_id, r.kept_doc_id] == r.edits <= bound(r.doc_id, r.kept_doc_id) for r in got)
+    assert sum(r.edits > 1 for r in got) > 10
+
+
 def test_line_dedup_of_documents(docs):
     data = [(r.doc_id, r.text) for r in rows(docs)]
     assert sorted(map(tuple, linededup.duplicate_lines(docs).drop("row").collect()), key=key) == lines_by_force(data)

@@ -6,6 +6,9 @@ their edit distance is verified on their words, and a line goes if an earlier li
 
 Equal lines are collapsed first. Of the rest only lines that share a half with another line, as any two lines within one
 edit do, emit variants. Groups are never spelled out in pairs: a key keeps its earliest lines only.
+
+Lines of more edits, in proportion to their length, meet by winnowed windows of words, of which two such lines share one
+for certain; their distance is verified as well.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 #: Bits of the sieve that lets through the lines with a shared half: a fixed size, whatever the input; a full sieve costs time, not results.
 SIEVE_BITS = 1 << 25
+#: Words of the windows by which lines of more than one edit are found.
+WINDOW = 5
 #: A line is hot if more than one in so many of all lines are its copies.
 HOT_LINES = 2000
 
@@ -204,21 +209,136 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.mapInArrow(verify, "h long, best struct<doc_id:long,row:long,line:int>").groupBy("h").agg(F.min("best").alias("best"))
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def _edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Words to replace, put in or leave out to make b of a; -1 if more than most. By the furthest reach on each diagonal."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return -1
+    stops: dict[int, np.ndarray] = {}
+
+    def slide(i: int, k: int) -> int:
+        low, end = max(0, -k), min(n, m - k)
+        if k not in stops:
+            stops[k] = np.flatnonzero(a[low:end] != b[low + k : end + k]) + low
+        at = int(np.searchsorted(stops[k], i))
+        return int(stops[k][at]) if at < len(stops[k]) else end
+
+    reach = {0: slide(0, 0)}
+    for d in range(most + 1):
+        if reach.get(m - n, -1) >= n:
+            return d
+        after = {}
+        for k in range(max(-d - 1, m - n - most + d + 1), min(d + 1, m - n + most - d - 1) + 1):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -1), reach.get(k + 1, -2) + 1)
+            if i >= 0:
+                after[k] = slide(min(i, n, m - k), k)
+        reach = after
+    return -1
+
+
+def long_prints(docs: DataFrame, words_an_edit: int) -> DataFrame:
+    """Rows (h, doc_id, line, n, prints) of the lines that may be two edits or more from another: hashes of some windows.
+
+    Of n words with n // words_an_edit edits, at least run in a row stay as they are. Of as many windows as fit in a run
+    the least hash is taken, so two lines with a common run have a common print.
+    """
+    names = ["h", "doc_id", "line", "n", "prints"]
+    run_of = -(-(2 * words_an_edit - 2) // 3)
+    pick = run_of - WINDOW + 1
+    if pick < 1:
+        raise ValueError("too many edits for windows of so many words")
+
+    def run(batches):
+        for batch, raw, off in K.blocks(batches):
+            doc, number, a, b, words = _lines(raw, off)
+            sums = Sums(words)
+            h = K.mix(sums.segment(a, b) + (b - a).astype(K.U))
+            keep = np.flatnonzero(b - a >= 2 * words_an_edit - 2)
+            a, n = a[keep], (b - a)[keep]
+            at = K.ragged(a, n - WINDOW + 1)
+            hashes = K.mix(sums.segment(at, at + WINDOW))
+            first = np.cumsum(n - WINDOW + 1) - (n - WINDOW + 1)
+            count = n - run_of + 1
+            least = np.lib.stride_tricks.sliding_window_view(hashes, pick).min(axis=1)[K.ragged(first, count)] if len(keep) else hashes
+            owner = np.repeat(np.arange(len(keep)), count)
+            new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])) if len(keep) else np.zeros(0, dtype=np.int64)
+            offsets = np.searchsorted(owner[new], np.arange(len(keep) + 1)).astype(np.int32)
+            prints = pa.ListArray.from_arrays(pa.array(offsets), pa.array(least[new].view(np.int64)))
+            take = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(n.astype(np.int32)), prints], names=names)
+
+    return _chosen(docs).mapInArrow(run, "h long, doc_id long, line int, n int, prints array<long>")
+
+
+def far_lines(docs: DataFrame, distinct: DataFrame, near: DataFrame, words_an_edit: int) -> DataFrame:
+    """Rows (h, best, edits): for distinct lines that are not in near, an earlier line at most 1 edit in words_an_edit away.
+
+    Each line meets the earliest line of each print first; only those that match none of these meet the others.
+    """
+    place = lambda t: t.select(F.col("h").alias("_h"), "id", F.col("id.doc_id").alias("d"), F.col("id.line").alias("l"))
+    at_place = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))
+    spark = docs.sparkSession
+    long = written(long_prints(docs, words_an_edit).join(place(distinct), at_place).dropDuplicates(["h"]).select("h", "id", "n", F.array_distinct("prints").alias("prints")), "prints")
+    release(spark)
+    # only prints of two lines or more take the lines' places with them
+    flat = long.select("h", F.explode("prints").alias("print"))
+    shared = written(flat.groupBy("print").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("print"), "shared")
+    release(spark)
+    met = written(flat.join(shared, "print"), "met")
+    release(spark)
+    placed = met.join(long.select("h", "id", "n"), "h")
+    first = placed.groupBy("print").agg(F.min(F.struct("id", "h", "n")).alias("first"))
+    each = written(placed.join(first, "print"), "shared-prints")
+    release(spark)
+    some = written(each.select("h", "id").distinct(), "far-lines")
+    words = written(line_words(docs, sieve(some)).join(place(some), at_place).dropDuplicates(["h"]).select("h", "words"), "far-words")
+    release(spark)
+    fits = f"abs(n - other.n) <= greatest(n, other.n) div {words_an_edit}"
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        of = pairs.select("h", "other").distinct().join(words.withColumnRenamed("words", "a"), "h")
+        of = of.join(words.select(F.col("h").alias("_h"), F.col("words").alias("b")), F.col("other.h") == F.col("_h")).select("h", F.col("other.id").alias("best"), "a", "b")
+
+        def verify(batches):
+            for batch in batches:
+                found = []
+                for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                    a, b = np.frombuffer(a.as_py(), dtype="<u4"), np.frombuffer(b.as_py(), dtype="<u4")
+                    found.append(_edits(a, b, max(len(a), len(b)) // words_an_edit))
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["h", "best", "edits"])
+                yield out.filter(pa.array(np.array(found) >= 0))
+
+        hits = of.mapInArrow(verify, "h long, best struct<doc_id:long,row:long,line:int>, edits int")
+        return written(hits.groupBy("h").agg(F.min(F.struct("best", "edits")).alias("hit")).select("h", "hit.best", "hit.edits"), "far-hits")
+
+    asking = each.join(near.select("h"), "h", "left_anti")
+    early = checked(asking.withColumnRenamed("first", "other").where("other.id < id").where(fits))
+    release(spark)
+    others = each.select("print", F.struct("id", "h", "n").alias("other"), F.col("first.h").alias("_first")).where("other.h <> _first").drop("_first")
+    late = checked(asking.join(early.select("h"), "h", "left_anti").join(others, "print").where("other.id < id").where(fits))
+    return early.unionByName(late)
+
+
+def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | None = None) -> DataFrame:
     """Rows (row, doc_id, line, kept_doc_id, kept_line, edits): every line that goes, and the earlier line it repeats.
 
     Words are separated by white space, A-Z lower-cased. Lines of fewer than min_words words go only if an equal line
     stands earlier; longer ones also if an earlier line is one word away (a word replaced, put in or left out). Earlier
-    is by doc_id (null first), row of the table and line number from 0. Lines without a word stay. A null text has no
+    is by doc_id (null first), row of the table and line number from 0. With words_an_edit, two lines the longer of which
+    has n words also match at n // words_an_edit edits; kept is the earliest line one word away, or where there is none,
+    an earlier line within that bound, and edits is the distance to it. Lines without a word stay. A null text has no
     lines; repeated rows are documents of their own, so all but the first lose their lines; other columns are not read;
     an empty table gives an empty result.
     """
     table = written(line_keys(docs, min_words), "line-keys")
     distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
     release(docs.sparkSession)
-    near = written(near_lines(docs, distinct), "near")
+    near = written(near_lines(docs, distinct).withColumn("edits", F.lit(1)), "near")
     release(docs.sparkSession)
-    classes = written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies"), "classes")
+    if words_an_edit:
+        near = near.unionByName(far_lines(docs, distinct, near, words_an_edit))
+        release(docs.sparkSession)
+    classes = written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes")
     lines = table.select("row", "doc_id", "line", "h")
     # lines with so many copies are HOT_LINES at most, so they are broadcast; the copies of any other fit in a task
     often = max(1000, lines.count() // HOT_LINES)
@@ -226,7 +346,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     both = lines.join(hot, "h").unionByName(lines.join(hot.select("h"), "h", "left_anti").join(cold, "h"))
     hit = both.where("best is not null or not (row = id.row and line = id.line)")
     kept = F.coalesce("best", "id")
-    return hit.select("row", "doc_id", "line", kept.getField("doc_id").alias("kept_doc_id"), kept.getField("line").alias("kept_line"), F.when(F.col("best").isNull(), 0).otherwise(1).alias("edits"))
+    return hit.select("row", "doc_id", "line", kept.getField("doc_id").alias("kept_doc_id"), kept.getField("line").alias("kept_line"), "edits")
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, broadcast_lines: int = 1_000_000) -> DataFrame:

@@ -34,7 +34,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(_read(spark, sf_dir, "documents")).drop("row")
+    return duplicate_lines(_read(spark, sf_dir, "documents"), words_an_edit=20).drop("row")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
