@@ -25,6 +25,12 @@ def test_gradient_by_differences():
         assert abs(slope - g[k][at]) < 1e-5
 
 
+def test_loss_of_large_scores(spark):
+    data = [(-1.0, 400.0), (1.0, 400.0), (1.0, -400.0), (-1.0, 44.0), (1.0, 0.3)]
+    got = [r[0] for r in spark.createDataFrame(data, "y double, z double").select(model.bce(F.col("y"), F.col("z"))).collect()]
+    assert got == pytest.approx([800, 0, 800, 88, math.log1p(math.exp(-0.6))])
+
+
 def test_training_learns(spark, tmp_path):
     h = model.Hyper(batch_count=2, recf_nodes=2, recf_count=2, a1=6, a2=4, b1=6, b2=4, learning_rate=0.9)
     rng = np.random.default_rng(1)

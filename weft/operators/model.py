@@ -80,7 +80,8 @@ def loss(y: np.ndarray, z: np.ndarray) -> float:
 
 
 def bce(y: Column, z: Column) -> Column:
-    return F.log1p(F.exp(-2 * y * z))
+    """ln(1 + exp(-2yz)), in a form that large z do not overflow."""
+    return F.greatest(-2 * y * z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(2 * y * z)))
 
 
 def l2_penalty(p: Params, l2: float) -> float:
