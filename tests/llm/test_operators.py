@@ -277,6 +277,17 @@ def test_bin_completion_finds_the_best():
     assert collections.Counter(x for f, t in got for x in f * t) == collections.Counter(h) and all(sum(f) <= 10 for f, _ in got)
 
 
+def test_bin_completion_of_many_lengths():
+    """With the effort that pack() uses: one length of some hundred fills the room."""
+    for odd in (35, 611, 1205):
+        left = collections.Counter({6 * i: 2 for i in range(2, 500)})
+        left[odd] += 1
+        assert sum(packing.completion(sorted(left), dict(left), 3600 + odd % 6)) == 3600 + odd % 6
+    left = {6 * i: 3 for i in range(2, 500)}
+    assert sum(got := packing.completion(sorted(left), left, 3605)) == 3600 and all(n <= left[x] for x, n in collections.Counter(got).items())
+    assert packing.fullest([4, 5], {4: 2, 5: 1}, 14) == [5, 4, 4] and packing.fullest([7], {7: 3}, 6) == []
+
+
 def components_by_force(data, k=5, percent=75):
     sets = []
     for _, text in data:

@@ -174,14 +174,34 @@ def best_fit(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
     return out
 
 
+def fullest(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """A filling of room with the least waste, by a table of the sums that the first so many lengths reach, as bits."""
+    reach, mask = [1], (1 << (room + 1)) - 1
+    for n in lengths[: bisect_right(lengths, room)]:
+        sums, count, step = reach[-1], min(left[n], room // n), 1
+        while count > 0:
+            step = min(step, count)
+            sums |= (sums << (n * step)) & mask
+            count, step = count - step, step * 2
+        reach.append(sums)
+        if sums >> room & 1:
+            break
+    rest, out = reach[-1].bit_length() - 1, []
+    for i in range(len(reach) - 1, 0, -1):
+        while not reach[i - 1] >> rest & 1:
+            out.append(lengths[i - 1])
+            rest -= lengths[i - 1]
+    return out
+
+
 def completion(lengths: list[int], left: dict[int, int], room: int, effort: int = 400) -> list[int]:
     """The filling of room with the least waste, from lengths (ascending) of which left[n] are there.
 
     Branch and bound over fillings in descending order of length. A branch is cut when all
     items that it may still take would leave no less waste than the incumbent. A filling is dominated if one of its items
     could give way to a longer one that still fits; it leaves more waste than that one, which comes first, so it is never
-    taken, and among equal wastes the one with the longer items stays. effort bounds the nodes looked at; the incumbent
-    (best-fit at first) is a filling in any case.
+    taken, and among equal wastes the one with the longer items stays. A search of more than effort nodes is given up for
+    fullest(), so the waste is the least in any case.
     """
     best = best_fit(lengths, left, room)
     waste = room - sum(best)
@@ -206,6 +226,8 @@ def completion(lengths: list[int], left: dict[int, int], room: int, effort: int
 
     if waste > 0 and lengths:
         grow([], {}, room, len(lengths) - 1)
+        if waste > 0 and nodes >= effort:
+            best = max(best, fullest(lengths, left, room), key=sum)
     return best
 
 
