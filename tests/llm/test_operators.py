@@ -348,6 +348,14 @@ def test_one_of_each(spark, odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_one_of_each_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    alone = " ".join(f"v{i}" for i in range(40))
+    data = [(4, text), (4, text), (9, text), (None, text), (4, alone), (None, "no id"), (None, "no id"), (5, None), (5, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted([(4, text), (4, alone), (None, "no id"), (5, None), (5, None)], key=key)
+
+
 def test_token_counts(table):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .store import release, without_ids, written
+from .store import ROW, numbered, release, without_ids, written
 
 #: Bytes of text for each bucket of tokens and each group of documents.
 PER_BUCKET = 2 << 20
@@ -66,7 +66,9 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # at is the row's number for good, row one for these plans, consecutive within a batch
+    row = F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), (F.col(ROW) if ROW in docs.columns else row).alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def hot_tokens(texts: DataFrame, k: int) -> np.ndarray:
@@ -112,7 +114,7 @@ def _blob_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=_BLOB_NAMES)
 
 
-META = np.dtype([("row", "<i8"), ("doc", "<i8"), ("null", "?"), ("size", "<i8"), ("s1", "<u8"), ("s2", "<u8"), ("hot", "<i8")])
+META = np.dtype([("row", "<i8"), ("at", "<i8"), ("doc", "<i8"), ("null", "?"), ("size", "<i8"), ("s1", "<u8"), ("s2", "<u8"), ("hot", "<i8")])
 
 
 def outgoing(texts: DataFrame, k: int, bits: int, hot: np.ndarray) -> DataFrame:
@@ -126,7 +128,8 @@ def outgoing(texts: DataFrame, k: int, bits: int, hot: np.ndarray) -> DataFrame:
             known = _in(hot, keys)
             n_docs = len(off) - 1
             facts = np.zeros(n_docs, dtype=META)
-            ids = batch.column(1)
+            facts["at"] = batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(2)
             facts["row"], facts["doc"], facts["null"] = rows, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
             facts["size"], facts["hot"] = np.bincount(owner, minlength=n_docs), np.bincount(owner[known], minlength=n_docs)
             edge = np.concatenate([[0], np.cumsum(facts["size"])])
@@ -211,7 +214,7 @@ def least_meetings(a: str, b: str, percent: int) -> str:
     return f"greatest(1, {overlap} - greatest({_rest(a, percent)}, {_rest(b, percent)}))"
 
 
-SETS = "row long, doc_id long, size long, s1 long, s2 long, tokens binary, prefix array<long>, fame long"
+SETS = "row long, at long, doc_id long, size long, s1 long, s2 long, tokens binary, prefix array<long>, fame long"
 
 
 def sets(blobs: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +255,7 @@ def sets(blobs: DataFrame, percent: int) -> DataFrame:
             body.append(np.sort(mine).tobytes() if able[i] else None)
             prefix.append(mine[: len(mine) - least[i] + more[i]].view(np.int64) if able[i] else None)
         doc = pa.array(facts["doc"], mask=facts["null"])
-        return pa.Table.from_arrays([pa.array(facts["row"]), doc, pa.array(facts["size"]), pa.array(facts["s1"].view(np.int64)), pa.array(facts["s2"].view(np.int64)), pa.array(body, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(fame.astype(np.int64))], names=["row", "doc_id", "size", "s1", "s2", "tokens", "prefix", "fame"])
+        return pa.Table.from_arrays([pa.array(facts["row"]), pa.array(facts["at"]), doc, pa.array(facts["size"]), pa.array(facts["s1"].view(np.int64)), pa.array(facts["s2"].view(np.int64)), pa.array(body, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(fame.astype(np.int64))], names=["row", "at", "doc_id", "size", "s1", "s2", "tokens", "prefix", "fame"])
 
     return blobs.where("part < 0").groupBy("part").applyInArrow(K.trimmed(run), SETS)
 
@@ -283,6 +286,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     as greater than all others and is its component's id only if no other is there. Other columns are not read; an
     empty table gives no rows.
     """
+    return _labelled(docs, k, percent, id_col, text_col).drop("at", "kept_at")
+
+
+def _labelled(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """jaccard_components() with each row's number and that of its component's first row, by id (null last) and number."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
@@ -292,7 +300,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     release(spark)
 
     # equal sets are one
-    heads = table.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("row").alias("head"), F.min("doc_id").alias("least_id"))
+    heads = table.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("row").alias("head"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
     able = written(table.where("tokens is not null").join(heads.select(F.col("head")), F.col("row") == F.col("head"), "left_semi"), "able")
 
     rare = able.select("row", "size", "fame", F.explode("prefix").alias("token"))
@@ -322,17 +330,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     final = components(links.unionByName(more))
 
     classes = heads.join(final, heads["head"] == final["node"], "left").withColumn("label", F.coalesce("label", "head"))
-    least = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(least, "label").select("size", "s1", "s2", "component_id")
-    full = table.where("size > 0").select("doc_id", "size", "s1", "s2").join(named, ["size", "s1", "s2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    none = table.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = classes.groupBy("label").agg(F.min("first").alias("least"))
+    named = classes.join(least, "label").select("size", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.at").alias("kept_at"))
+    full = table.where("size > 0").select("at", "doc_id", "size", "s1", "s2").join(named, ["size", "s1", "s2"]).select("at", "doc_id", F.col("size").alias("n_shingles"), "component_id", "kept_at")
+    none = table.where("size = 0").select("at", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("at").alias("kept_at"))
     return full.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; documents without words stay.
-
-    Rows with one id stay or go together; rows without an id stay.
-    """
-    gone = jaccard_components(docs, **kw).where("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, gone, "doc_id")
+    """docs with one row of each component, the first of those with the least doc_id (null last); rows without words stay."""
+    table = numbered(docs, "rows")
+    gone = _labelled(table, **kw).where("at <> kept_at").select("at")
+    return without_ids(table, gone, ROW).drop(ROW)
