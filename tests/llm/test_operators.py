@@ -449,3 +449,14 @@ def test_empty_tables(f, empty):
 
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_shards_of_repeated_rows(spark):
+    """Pages of repeated rows hold whole rows within the limit."""
+    d = spark.createDataFrame([(1, "x" * 10)] * 7 + [(2, "y" * 40)] * 2 + [(3, "z")], "doc_id long, text string").repartition(3)
+    size, count = collections.Counter(), collections.Counter()
+    for r in sharding.shards(d, 25).collect():
+        size[r.shard] += r.n_bytes
+        count[r.shard] += 1
+    assert all(n <= 25 or count[s] == 1 for s, n in size.items())
+    assert sum(count.values()) == 10 and sorted(size.values()) in ([1, 10, 20, 20, 20, 40, 40], [11, 20, 20, 20, 40, 40])

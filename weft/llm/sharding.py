@@ -14,6 +14,8 @@ from .store import written
 #: Depths looked at in one round.
 LEVELS = 6
 MAX_DEPTH = 62
+#: Rows that all bits leave together are numbered in so many parts.
+SALTS = 64
 
 
 def _prefix(depth) -> F.Column:
@@ -25,7 +27,7 @@ def assign(items: DataFrame, limit: int) -> DataFrame:
     """items (item long, bits long, bytes long) with depth and prefix of their shard; overflow numbers a bucket's pages.
 
     Each round settles the buckets that fit within some of the next depths; what is still too large goes on. Items that
-    all bits leave together (or one item above the limit) share a bucket in pages of at most limit bytes.
+    all bits leave together share a bucket in pages of whole items, of at most limit bytes or of one item above it.
     """
     total = items.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth, least = 0, total
@@ -45,8 +47,14 @@ def assign(items: DataFrame, limit: int) -> DataFrame:
         if rest.isEmpty():
             break
         if high == MAX_DEPTH:
-            page = F.expr(f"cast(floor((sum(bytes) over (partition by bits order by item, bytes rows unbounded preceding) - bytes) / {limit}) as bigint)")
-            done.append(rest.withColumn("depth", F.lit(MAX_DEPTH)).withColumn("overflow", page))
+            at = written(rest.withColumn("at", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS))), "overflow")
+            parts = at.groupBy("bits", "salt").agg(F.count("*").alias("n"), F.max("bytes").alias("most"))
+            before = F.expr("sum(n) over (partition by bits order by salt) - n")
+            a_page = F.expr(f"greatest(1, {limit} div max(most) over (partition by bits))")
+            parts = parts.select("bits", "salt", before.alias("before"), a_page.alias("a_page"))
+            number = F.expr("row_number() over (partition by bits, salt order by at) - 1")
+            paged = at.withColumn("number", number).join(parts, ["bits", "salt"]).withColumn("overflow", F.expr("(before + number) div a_page"))
+            done.append(paged.withColumn("depth", F.lit(MAX_DEPTH)).select(*rest.columns, "depth", "overflow"))
             break
         low, first = high, False
     out = done[0]
