@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import release, written
+from .store import drop, written
 
 #: Words are 56-bit hashes: the low byte of all is 0.
 WORD_BITS = K.U(0xFFFFFFFFFFFFFF00)
@@ -377,7 +377,6 @@ def katz_scores(docs: DataFrame, learn=None) -> DataFrame:
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
     texts = _texts(docs, learn)
     counts = written(unigrams(texts, bits), "unigrams")
-    release(spark)
     sums = counts.agg(F.sum("total"), F.sum("types"), *(F.sum(F.col("of_count")[r]) for r in range(CUTOFF + 1))).first()
     n, types, of_count = sums[0] or 0, sums[1] or 0, [x or 0 for x in sums[2:]]
 
@@ -391,7 +390,6 @@ def katz_scores(docs: DataFrame, learn=None) -> DataFrame:
     hot = {int(np.int64(r.w).view(K.U)): r.n for r in counts.select("body").mapInArrow(often, "w long, n long").collect()}  # at most 1 / HOT words, and END
     uni = Unigram(n, types, of_count, types - sum(of_count[:CUTOFF]), hot, hot.get(int(END), 0))
     table = written(counted(pairs(texts, bits, uni), bits, uni), "ngrams")
-    release(spark)
 
     of_pairs = np.zeros(CUTOFF + 1, dtype=np.int64)
     for r in table.where(F.col("kind") == STATS).select("body").toLocalIterator():  # one small row a bucket

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 U = np.uint64
 _C1, _C2, _C3 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import ROW, numbered, release, written
+from .store import ROW, drop, numbered, written
 
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
@@ -279,20 +279,15 @@ def far_lines(docs: DataFrame, distinct: DataFrame, near: DataFrame, words_an_ed
     at_place = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))
     spark = docs.sparkSession
     long = written(long_prints(docs, words_an_edit).join(place(distinct), at_place).dropDuplicates(["h"]).select("h", "id", "n", F.array_distinct("prints").alias("prints")), "prints")
-    release(spark)
     # only prints of two lines or more take the lines' places with them
     flat = long.select("h", F.explode("prints").alias("print"))
     shared = written(flat.groupBy("print").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("print"), "shared")
-    release(spark)
     met = written(flat.join(shared, "print"), "met")
-    release(spark)
     placed = met.join(long.select("h", "id", "n"), "h")
     first = placed.groupBy("print").agg(F.min(F.struct("id", "h", "n")).alias("first"))
     each = written(placed.join(first, "print"), "shared-prints")
-    release(spark)
     some = written(each.select("h", "id").distinct(), "far-lines")
     words = written(line_words(docs, sieve(some)).join(place(some), at_place).dropDuplicates(["h"]).select("h", "words"), "far-words")
-    release(spark)
     fits = f"abs(n - other.n) <= greatest(n, other.n) div {words_an_edit}"
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -313,7 +308,6 @@ def far_lines(docs: DataFrame, distinct: DataFrame, near: DataFrame, words_an_ed
 
     asking = each.join(near.select("h"), "h", "left_anti")
     early = checked(asking.withColumnRenamed("first", "other").where("other.id < id").where(fits))
-    release(spark)
     others = each.select("print", F.struct("id", "h", "n").alias("other"), F.col("first.h").alias("_first")).where("other.h <> _first").drop("_first")
     late = checked(asking.join(early.select("h"), "h", "left_anti").join(others, "print").where("other.id < id").where(fits))
     return early.unionByName(late)
@@ -332,12 +326,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | No
     """
     table = written(line_keys(docs, min_words), "line-keys")
     distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
-    release(docs.sparkSession)
     near = written(near_lines(docs, distinct).withColumn("edits", F.lit(1)), "near")
-    release(docs.sparkSession)
     if words_an_edit:
         near = near.unionByName(far_lines(docs, distinct, near, words_an_edit))
-        release(docs.sparkSession)
     classes = written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes")
     lines = table.select("row", "doc_id", "line", "h")
     # lines with so many copies are HOT_LINES at most, so they are broadcast; the copies of any other fit in a task

@@ -2,34 +2,60 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting by which a query's shuffle files go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The column that numbered() adds.
+ROW = "__weft_row"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in local tests, a folder of our own, which is then set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, local mode gets a folder of its own, which is then set; a
+    cluster must name one, as its machines do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def _cleaned(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: read again, it has no lineage, so a lost executor costs no more than a read."""
+    """df as a Parquet table in the shared folder: read again, it has no lineage, so a lost executor costs no more than a read.
+
+    The shuffle files of the query that wrote it go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._weft_path = path
+    return found
 
 
-#: The column that numbered() adds.
-ROW = "__weft_row"
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._weft_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -37,18 +63,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done: it does so once neither Python nor the JVM refers to them."""
-    for _ in range(2):  # what the first round frees may hold on to more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def without_ids(df: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """df without the rows whose key is in ids (one column, no nulls). Up to broadcast_rows ids are broadcast, more are
     joined by a shuffle; rows with a null key stay."""
     name = ids.columns[0]
-    found = written(ids.distinct().withColumnRenamed(name, "_gone"), "gone")
+    gone = "__weft_gone"
+    found = written(ids.distinct().withColumnRenamed(name, gone), "gone")
     few = found.count() <= broadcast_rows
-    return df.join(F.broadcast(found) if few else found, df[key] == F.col("_gone"), "left_anti")
+    return df.join(F.broadcast(found) if few else found, df[key] == F.col(gone), "left_anti")
