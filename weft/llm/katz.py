@@ -22,11 +22,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .blobs import narrow as _narrow
+from .blobs import pack as _pack
+from .blobs import unpack as _unpack
 from .store import drop, written
 
 #: Words are 56-bit hashes: the low byte of all is 0.
@@ -43,43 +45,11 @@ HOT = 1 / 2000
 BLOB = "kind int, part long, body binary"
 
 
-def _planes(v: np.ndarray) -> bytes:
-    """The bytes of an array; of eight-byte numbers all first bytes, all second bytes and so on, as sorted and close numbers compress so."""
-    v = np.ascontiguousarray(v)
-    return v.view(np.uint8).reshape(-1, 8).T.tobytes() if v.dtype.itemsize == 8 else v.tobytes()
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays in one compressed blob."""
-    head = ";".join(f"{k},{v.dtype.str},{len(v)}" for k, v in arrays.items()).encode()
-    body = len(head).to_bytes(4, "little") + head + b"".join(_planes(v) for v in arrays.values())
-    return zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    body = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(body[:4], "little")
-    out, at = {}, 4 + n
-    for name, dtype, size in (x.split(",") for x in body[4 : 4 + n].decode().split(";")):
-        kind, size = np.dtype(dtype), int(size)
-        if kind.itemsize == 8:
-            out[name] = np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8, count=8 * size, offset=at).reshape(8, size).T).reshape(-1).view(kind)
-        else:
-            out[name] = np.frombuffer(body, dtype=kind, count=size, offset=at)
-        at += out[name].nbytes
-    return out
-
-
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     kind, part, body = zip(*rows, strict=True) if rows else ([], [], [])
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int64()), pa.array(body, pa.binary())], names=["kind", "part", "body"])
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.int64)
-
-
 def _group(part: np.ndarray, n_parts: int):
     order = np.argsort(part.astype(np.uint16) if n_parts <= 65536 else part, kind="stable")
     parts, edge = np.unique(part[order], return_index=True)

@@ -148,6 +148,12 @@ def windows(h: np.ndarray, item_doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(out[at]), at
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by a plain sort."""
+    s = np.sort(x)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def clashing(keys: np.ndarray) -> np.ndarray:
     """Positions, ascending, of keys that may occur twice or more: all that do, and few others.
 
