@@ -27,4 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         labels, at = new.select("node", F.col("next").alias("label")), new
         if not changed:
             drop(both)
+            labels._weft_path = at._weft_path
             return labels

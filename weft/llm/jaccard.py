@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .store import ROW, drop, numbered, without_ids, written
+from .store import ROW, numbered, scratch, small_batches, without_ids, written
 
 #: Bytes of text for each bucket of tokens and each group of documents.
 PER_BUCKET = 2 << 20
 #: Bytes of text in each block: the larger, the fewer blobs.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Bits of a token beside those of its bucket.
 REST_BITS = 40
 #: A block of texts tells of a token that HOT_SHARE of its documents have, HOT_LEAST at least; it is hot if HOT_TOTAL documents
@@ -382,36 +382,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
 
 def _labelled(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """jaccard_components() with each row's number and that of its component's first row, by id (null last) and number."""
-    total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count("*")).first()
-    bits = min(30, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
-    texts = _texts(docs, id_col, text_col)
-    blobs = outgoing(texts, k, bits, hot_tokens(texts, k, n_docs))
-    table = written(sets(shared_only(blobs, bits), percent), "sets")
-
-    # equal sets are one
-    heads = table.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("row").alias("head"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
-    able = written(table.where("tokens is not null").join(heads.select(F.col("head")), F.col("row") == F.col("head"), "left_semi"), "able")
-
-    rare = able.select("row", "size", "fame", F.explode("prefix").alias("token"))
-    centre = rare.groupBy("token").agg(F.max(F.struct("fame", F.expr("-row").alias("b"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("token", F.expr("-top.b").alias("b"))
-    votes = written(rare.join(centre, "token").where("row <> b").groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("n")), "votes")
-    star = votes.groupBy("a").agg(F.max(F.struct("n", F.expr("-b").alias("b"))).alias("top")).select("a", F.expr("-top.b").alias("b"))
-    # of the centres that it meets, a document's hub is the one that most have for a star, be it itself
-    stars = star.groupBy("b").agg(F.count("*").alias("fans"))
-    own = stars.select(F.col("b").alias("a"), F.col("fans").alias("own"))
-    chosen = votes.join(stars, "b").groupBy("a").agg(F.max(F.struct("fans", "n", F.expr("-b").alias("b"))).alias("top")).join(own, "a", "left")
-    hub = chosen.where("own is null or own < top.fans").select("a", F.expr("-top.b").alias("b"))
-    of_hubs = written(overlaps(written(star.withColumn("hub", F.lit(False)).unionByName(hub.withColumn("hub", F.lit(True))).groupBy("a", "b").agg(F.max("hub").alias("hub")), "hub-pairs"), able), "hubs")
-    links = written(of_hubs.where(_linked(percent)).select("a", "b"), "links")
-    hubs = of_hubs.where("hub")
-    groups = components(links)
-    more = written(overlaps(_opened(able, hubs, groups, percent), able).where(_linked(percent)).select("a", "b"), "more")
-    final = components(links.unionByName(more))
-    drop(able, votes, of_hubs, links, more)
-
-    classes = heads.join(final, heads["head"] == final["node"], "left").withColumn("label", F.coalesce("label", "head"))
-    # written, so that Spark can split the join of a component that most documents are in
-    least = written(classes.groupBy("label").agg(F.min("first").alias("least")), "least")
+    small_batches(docs.sparkSession)
+    with scratch() as keep:
+        total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count("*")).first()
+        bits = min(30, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
+        texts = _texts(docs, id_col, text_col)
+        blobs = outgoing(texts, k, bits, hot_tokens(texts, k, n_docs))
+        table = keep(written(sets(shared_only(blobs, bits), percent), "sets"))
+
+        # equal sets are one
+        heads = table.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("row").alias("head"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
+        able = written(table.where("tokens is not null").join(heads.select(F.col("head")), F.col("row") == F.col("head"), "left_semi"), "able")
+
+        rare = able.select("row", "size", "fame", F.explode("prefix").alias("token"))
+        centre = rare.groupBy("token").agg(F.max(F.struct("fame", F.expr("-row").alias("b"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("token", F.expr("-top.b").alias("b"))
+        votes = written(rare.join(centre, "token").where("row <> b").groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("n")), "votes")
+        star = votes.groupBy("a").agg(F.max(F.struct("n", F.expr("-b").alias("b"))).alias("top")).select("a", F.expr("-top.b").alias("b"))
+        # of the centres that it meets, a document's hub is the one that most have for a star, be it itself
+        stars = star.groupBy("b").agg(F.count("*").alias("fans"))
+        own = stars.select(F.col("b").alias("a"), F.col("fans").alias("own"))
+        chosen = votes.join(stars, "b").groupBy("a").agg(F.max(F.struct("fans", "n", F.expr("-b").alias("b"))).alias("top")).join(own, "a", "left")
+        hub = chosen.where("own is null or own < top.fans").select("a", F.expr("-top.b").alias("b"))
+        of_hubs = written(overlaps(written(star.withColumn("hub", F.lit(False)).unionByName(hub.withColumn("hub", F.lit(True))).groupBy("a", "b").agg(F.max("hub").alias("hub")), "hub-pairs"), able), "hubs")
+        links = written(of_hubs.where(_linked(percent)).select("a", "b"), "links")
+        hubs = of_hubs.where("hub")
+        groups = components(links)
+        more = written(overlaps(_opened(able, hubs, groups, percent), able).where(_linked(percent)).select("a", "b"), "more")
+        final = keep(components(links.unionByName(more)))
+
+        classes = heads.join(final, heads["head"] == final["node"], "left").withColumn("label", F.coalesce("label", "head"))
+        # written, so that Spark can split the join of a component that most documents are in
+        least = keep(written(classes.groupBy("label").agg(F.min("first").alias("least")), "least"))
     named = classes.join(least, "label").select("size", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.at").alias("kept_at"))
     full = table.where("size > 0").select("at", "doc_id", "size", "s1", "s2").join(named, ["size", "s1", "s2"]).select("at", "doc_id", F.col("size").alias("n_shingles"), "component_id", "kept_at")
     none = table.where("size = 0").select("at", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("at").alias("kept_at"))
@@ -475,5 +476,6 @@ def _opened(able: DataFrame, hubs: DataFrame, groups: DataFrame, percent: int) -
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """docs with one row of each component, the first of those with the least doc_id (null last); rows without words stay."""
     table = numbered(docs, "rows")
-    gone = _labelled(table, **kw).where("at <> kept_at").select("at")
+    with scratch() as keep:
+        gone = keep(written(_labelled(table, **kw).where("at <> kept_at").select("at"), "gone"))
     return without_ids(table, gone, ROW).drop(ROW)

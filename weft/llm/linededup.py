@@ -25,7 +25,7 @@ from . import kernel as K
 from .blobs import narrow
 from .blobs import pack as _pack
 from .blobs import unpack as _unpack
-from .store import ROW, drop, numbered, written
+from .store import ROW, drop, numbered, scratch, small_batches, written
 
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
@@ -34,7 +34,7 @@ SIEVE_SHARE, SIEVE_MOST = 16, 1 << 28
 #: Words of the windows by which lines of more than one edit are found.
 WINDOW = 5
 #: Bytes of text for each bucket of windows, and in each block; fitting lines held at a time.
-PER_BUCKET, BLOCK, HELD = 8 << 20, 3 << 20, 1 << 20
+PER_BUCKET, BLOCK, HELD = 8 << 20, 2 << 20, 1 << 20
 #: Bits of the sketches of lines, and of those of more than LONG_LINE words; a print of more than OFTEN lines is frequent.
 SHORT_BITS, LONG_BITS, LONG_LINE, OFTEN = 128, 1024, 256, 64
 #: Lines that a line names at once; a line that matches none of them and has more asks again for all.
@@ -43,6 +43,10 @@ NAMED = 16
 HOT_LINES = 2000
 
 
+#: Columns of without_lines() that no table of documents has.
+_AT, _GONE = "__weft_at", "__weft_gone"
+
+
 class Sums:
     """Polynomial hashes of segments of one sequence, from its prefix sums modulo 2^64."""
 
@@ -519,27 +523,28 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | No
     lines; repeated rows are documents of their own, so all but the first lose their lines; other columns are not read;
     an empty table gives an empty result.
     """
-    bits = 0
-    if words_an_edit:
-        total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-        bits = min(40, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
-    keys = written(line_keys(docs, min_words, words_an_edit, bits), "line-keys")
-    blobs, table = keys.where("part is not null").select("part", "body"), keys.where("part is null").drop("part", "body")
-    distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
-    pairs = written(fitting(blobs, words_an_edit), "fitting") if words_an_edit else None
-    named = lambda p: p.select("h").unionByName(p.select(F.col("other").alias("h"))).distinct()
-    lines = words_of(docs, distinct, named(pairs) if words_an_edit else None)
-    near = written(near_lines(lines).withColumn("edits", F.lit(1)), "near")
-    if words_an_edit:
-        far, rest = far_lines(pairs, lines, words_an_edit, near)
-        drop(lines, pairs)
-        done = near.unionByName(far)
-        if not rest.isEmpty():
-            some, asking = asked_blobs(blobs, rest)
-            pairs = written(fitting(some, words_an_edit, asking).join(rest, "h"), "fitting")
-            done = done.unionByName(far_lines(pairs, words_of(docs, distinct, named(pairs)), words_an_edit, done)[0])
-        near = done
-    classes = written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes")
+    small_batches(docs.sparkSession)
+    with scratch() as keep:
+        bits = 0
+        if words_an_edit:
+            total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+            bits = min(40, max(0, math.ceil(math.log2(max(1, total / PER_BUCKET)))))
+        keys = keep(written(line_keys(docs, min_words, words_an_edit, bits), "line-keys"))
+        blobs, table = keys.where("part is not null").select("part", "body"), keys.where("part is null").drop("part", "body")
+        distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
+        pairs = written(fitting(blobs, words_an_edit), "fitting") if words_an_edit else None
+        named = lambda p: p.select("h").unionByName(p.select(F.col("other").alias("h"))).distinct()
+        lines = words_of(docs, distinct, named(pairs) if words_an_edit else None)
+        near = written(near_lines(lines).withColumn("edits", F.lit(1)), "near")
+        if words_an_edit:
+            far, rest = far_lines(pairs, lines, words_an_edit, near)
+            done = near.unionByName(far)
+            if not rest.isEmpty():
+                some, asking = asked_blobs(blobs, rest)
+                pairs = written(fitting(some, words_an_edit, asking).join(rest, "h"), "fitting")
+                done = done.unionByName(far_lines(pairs, words_of(docs, distinct, named(pairs)), words_an_edit, done)[0])
+            near = done
+        classes = keep(written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes"))
     lines = table.select("row", "doc_id", "line", "h")
     # lines with so many copies are HOT_LINES at most, so they are broadcast; the copies of any other fit in a task
     often = max(1000, lines.count() // HOT_LINES)
@@ -556,19 +561,22 @@ def without_lines(docs: DataFrame, gone: DataFrame, broadcast_lines: int = 1_000
     gone is of duplicate_lines(docs). Where docs is not of numbered(), its rows must come in one order whenever it is
     read. Up to broadcast_lines lines are broadcast (some ten bytes each), more are joined by a shuffle.
     """
-    gone = written(gone.select("row", "line"), "gone-lines")
-    lists = gone.groupBy(F.col("row").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    if not hasattr(gone, "_weft_path"):
+        gone = written(gone.select("row", "line"), "gone-lines")
+    lists = gone.groupBy(F.col("row").alias(_AT)).agg(F.collect_set("line").alias(_GONE))
     if gone.count() <= broadcast_lines:
         lists = F.broadcast(lists)
-    text = F.expr("if(_gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n'))")
-    out = docs.withColumn(ROW, _row(docs)).join(lists, F.col(ROW) == F.col("_id"), "left").withColumn("text", text)
-    out = out.where("_gone is null or text rlike '[^ \\\\t-\\\\r]'")
+    text = F.expr("if(__weft_gone is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(__weft_gone, i)), '\\n'))")
+    out = docs.withColumn(ROW, _row(docs)).join(lists, F.col(ROW) == F.col(_AT), "left").withColumn("text", text)
+    out = out.where(f"{_GONE} is null or text rlike '[^ \\\\t-\\\\r]'")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(_GONE).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 
 def deduped(docs: DataFrame, **kw) -> DataFrame:
     """docs without the lines that duplicate_lines() names: of rows that repeat each other, the first keeps its lines."""
     table = numbered(docs, "rows")
-    return without_lines(table, duplicate_lines(table, **kw)).drop(ROW)
+    with scratch() as keep:
+        gone = keep(written(duplicate_lines(table, **kw).select("row", "line"), "gone-lines"))
+    return without_lines(table, gone).drop(ROW)

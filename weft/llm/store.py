@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Spark's own setting by which a query's shuffle files go when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that travels to a Python worker; Spark's own default counts rows, whatever their length.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 #: The column that numbered() adds.
 ROW = "__weft_row"
 
@@ -27,6 +29,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that workers hold, for a session that leaves Spark's default in place."""
+    if spark.conf.get(BATCH) == f"{64 << 20}b":  # the default, as Spark spells it
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+#: Scopes that are open: the paths of the tables made within each.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes on leaving the tables that written() makes within, but those given to the function that it yields; these
+    belong to the scope around it, if there is one."""
+    made: list[tuple[SparkSession, str]] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._weft_path)
+        return table
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        sweep([x for x in made if x[1] not in kept])
+        if _scopes:
+            _scopes[-1] += [x for x in made if x[1] in kept]
+
+
+@contextmanager
+def collected():
+    """Yields the list of the tables that are made within and not deleted by then, for sweep() later."""
+    made: list[tuple[SparkSession, str]] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def sweep(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, name in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 @contextmanager
 def _cleaned(spark: SparkSession):
     before = spark.conf.get(CLEANUP, "false")
@@ -44,8 +94,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weft-{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
     with _cleaned(spark):
         df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
     found = spark.read.schema(df.schema).parquet(path)
     found._weft_path = path
     return found
@@ -53,9 +106,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing will read again."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._weft_path)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    sweep([(table.sparkSession, table._weft_path) for table in tables])
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
