@@ -460,3 +460,26 @@ def test_shards_of_repeated_rows(spark):
         count[r.shard] += 1
     assert all(n <= 25 or count[s] == 1 for s, n in size.items())
     assert sum(count.values()) == 10 and sorted(size.values()) in ([1, 10, 20, 20, 20, 40, 40], [11, 20, 20, 20, 40, 40])
+
+
+def test_written_shards_hold_every_row(spark, odd, tmp_path):
+    """Rows without an id, repeated rows and two texts of one id: each in the shard that its own text belongs to."""
+    sharding.write_shards(odd, str(tmp_path / "odd"), 2000)
+    got = spark.read.option("basePath", str(tmp_path / "odd")).parquet(str(tmp_path / "odd"))
+    assert sorted((tuple(r) for r in got.select(odd.columns).collect()), key=key) == sorted(map(tuple, odd.collect()), key=key)
+    d = spark.createDataFrame([(1, "a" * 50), (1, "b" * 50), (None, "c" * 10)], "doc_id long, text string")
+    sharding.write_shards(d, str(tmp_path / "two"), 60)
+    size = spark.read.parquet(str(tmp_path / "two")).groupBy("shard").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert sum(r.n for r in size) == 110 and all(r.n <= 60 for r in size)
+    of = sharding.directory(sharding.shards(d, 60)).collect()
+    assert sorted(r.n_bytes for r in of) == sorted(r.n for r in size)
+
+
+def test_packing_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(2)
+    for low, high, count in ((700, 2300, 300), (1000, 1400, 400), (10, 4096, 500)):
+        h = collections.Counter(rng.integers(low, high, count).tolist())
+        used = lambda patterns: sum(t for _, t in patterns)
+        got = packing.plan(h, 4096)
+        assert collections.Counter({n: sum(f.count(n) * t for f, t in got) for n in h}) == h and all(sum(f) <= 4096 for f, _ in got)
+        assert used(got) <= used(packing._filled(h, 4096, packing.best_fit))

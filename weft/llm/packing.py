@@ -231,15 +231,14 @@ def completion(lengths: list[int], left: dict[int, int], room: int, effort: int
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of one sequence, longest first) and how many sequences have each; all pieces are placed."""
+def _filled(histogram: dict[int, int], capacity: int, fill) -> list[tuple[list[int], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     lengths = sorted(left)
     out: list[tuple[list[int], int]] = []
     while lengths:
         big = lengths[-1]
         left[big] -= 1
-        filling = [big, *completion(lengths, left, capacity - big)]
+        filling = [big, *fill(lengths, left, capacity - big)]
         left[big] += 1
         times = min(left[n] // filling.count(n) for n in set(filling))
         out.append((filling, times))
@@ -249,6 +248,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns (lengths of one sequence, longest first) and how many sequences have each; all pieces are placed.
+
+    Full sequences early on can leave pieces that go badly together. So where bin completion does not meet the lower
+    bound, the best-fit solution of the whole packing is held against it, and the one of fewer sequences stays.
+    """
+    completed = _filled(histogram, capacity, completion)
+    used = lambda patterns: sum(times for _, times in patterns)
+    if used(completed) <= -(-sum(n * c for n, c in histogram.items()) // capacity):
+        return completed
+    return min(completed, _filled(histogram, capacity, best_fit), key=used)
+
+
 def places(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, from, to, sequence, offset): the pieces of a length numbered from..to-1 take that offset in sequence, sequence + 1, ..."""
     seen: dict[int, int] = {}

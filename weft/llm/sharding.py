@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import ROW, drop, numbered, scratch, written
 
 #: Depths looked at in one round.
 LEVELS = 6
 MAX_DEPTH = 62
 #: Rows that all bits leave together are numbered in so many parts.
 SALTS = 64
+_AT = "__weft_at"
 
 
 def _prefix(depth) -> F.Column:
@@ -70,15 +71,21 @@ def shards(docs: DataFrame, limit: int = 16 << 20, id_col: str = "doc_id", text_
     hashes and stay together, in overflow pages if they pass the limit. A single text above the limit is a shard of its
     own with what shares its 62 bits. Other columns are not read; an empty table gives none.
     """
+    return _assigned(docs, limit, id_col, text_col).select(F.col("item").alias("doc_id"), "shard", F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("n_bytes"))
+
+
+def _assigned(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """assign() of the rows of docs with their shard's name; of numbered() docs with the column ROW."""
     items = docs.select(
         F.col(id_col).cast("long").alias("item"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), 2).alias("bits"),
         F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"),
+        *([ROW] if ROW in docs.columns else []),
     )
     got = assign(written(items, "shard-items"), limit)
     bits = F.expr("if(depth = 0, '', right(lpad(bin(prefix), 64, '0'), depth))")
     name = F.when(F.col("overflow") > 0, F.concat(bits, F.lit("."), F.col("overflow").cast("string"))).otherwise(bits)
-    return got.select(F.col("item").alias("doc_id"), name.alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("bytes").alias("n_bytes"))
+    return got.withColumn("shard", name)
 
 
 def directory(assigned: DataFrame) -> DataFrame:
@@ -86,7 +93,11 @@ def directory(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("shard", "depth").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = 16 << 20, id_col: str = "doc_id") -> None:
-    """Writes docs as Parquet in one folder a shard."""
-    named = shards(docs, limit, id_col=id_col).select(F.col("doc_id").alias("_id"), "shard").dropDuplicates(["_id"])
-    docs.join(named, docs[id_col] == named["_id"]).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes docs, every row and all columns, as Parquet in one folder a shard: shard=<name>, of which "all" is the only
+    one where nothing is split. Rows without an id and repeated rows go where shards() has them."""
+    table = numbered(docs, "rows")
+    with scratch():
+        named = _assigned(table, limit, id_col, text_col).select(F.col(ROW).alias(_AT), F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias("shard"))
+        table.join(named, F.col(ROW) == F.col(_AT)).drop(_AT, ROW).repartition("shard").write.partitionBy("shard").parquet(path)
+    drop(table)
