@@ -6,6 +6,7 @@ import math
 import re
 import textwrap
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,6 +134,17 @@ def parse_number(text: str | None, target: str) -> tuple[float | int | None, int
     return (None, 3) if value < low else (None, 4) if value > high else (value, 0)
 
 
+def parsed(text: Column, target: str) -> Column:
+    """parse_number() of a column, as a struct of value and code; whole numbers beyond 2^53 are rounded to doubles."""
+
+    @F.pandas_udf("value double, code int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [parse_number(t, target) for t in texts]
+        return pd.DataFrame({"value": pd.Series([v for v, _ in found], dtype="float64"), "code": pd.Series([c for _, c in found], dtype="int32")})
+
+    return run(text)
+
+
 def try_number(text: Column) -> Column:
     """The JVM's own reading of plain decimal text as a double; null where it is none."""
     return F.expr("try_cast(null as double)") if text is None else text.try_cast("double")

@@ -70,7 +70,8 @@ def sketch(df: DataFrame, by: str, order: str, value: str, bins: int = 100) -> D
         for x in pdf.sort_values(order)[value]:
             s.add(float(x))
         n = len(s.q) if len(s.q) == bins + 1 else 0
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * n, "i": np.arange(n, dtype=np.int32), "q": s.q[:n]})
+        # the key keeps its own type where a series gives no rows
+        return pd.DataFrame({by: pdf[by].iloc[[0] * n].reset_index(drop=True), "i": np.arange(n, dtype=np.int32), "q": s.q[:n]})
 
     kind = df.schema[by].dataType.simpleString()
     return df.select(by, order, value).groupBy(by).applyInPandas(fold, f"{by} {kind}, i int, q double")

@@ -5,11 +5,13 @@ Orders stand for commits and their items for changed paths; a customer's previou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import hashing, scalar
 from weft.operators import dataset, diff, evaluate, graph, model, quantiles, sampling, stats
+from weft.sources import objects, textfiles
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,9 +112,86 @@ def subtree_expand(spark, sf_dir):
 
 
 def checkpoint_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one of our own, which a cluster does not take."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return found or tempfile.mkdtemp(prefix="weft-")
+
+
+SNAP = "fl AS (SELECT l_orderkey AS o, l_returnflag || '/' || CAST(l_suppkey AS VARCHAR) AS path, max(l_linenumber) AS v FROM lineitem GROUP BY 1, 2)"
+SNAPS = SNAP + ", nw AS (SELECT o_orderkey AS o, path, v FROM cm JOIN fl ON fl.o = o_orderkey WHERE p IS NOT NULL), od AS (SELECT o_orderkey AS o, path, v FROM cm JOIN fl ON fl.o = p WHERE p IS NOT NULL)"
+CHANGED = W + PAR + ", " + SNAPS + " SELECT CAST(coalesce(nw.o, od.o) AS VARCHAR) AS commit, coalesce(nw.path, od.path) AS path FROM nw FULL OUTER JOIN od ON nw.o = od.o AND nw.path = od.path WHERE nw.v IS DISTINCT FROM od.v"
+
+
+def _trees(spark, sf_dir):
+    """Commits and tree entries: an order's tree has a directory for each flag, named by its content, and there its suppliers."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    repo, text = F.lit("all").alias("repo"), lambda c: F.col(c).cast("string")
+    all_commits = read(spark, sf_dir, "orders").withColumn("p", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    found = all_commits.select(repo, text("o_orderkey").alias("sha"), F.concat(F.lit("t"), "o_orderkey").alias("tree_sha"), F.when(F.col("p").isNull(), F.array().cast("array<string>")).otherwise(F.array(text("p"))).alias("parents"))
+    files = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_suppkey").agg(F.max("l_linenumber").alias("v"))
+    content = F.concat_ws(";", F.array_sort(F.collect_list(F.concat_ws("=", "l_suppkey", "v"))))
+    dirs = files.groupBy("l_orderkey", "l_returnflag").agg(F.sha1(content).alias("sha"))
+    top = dirs.select(repo, F.concat(F.lit("t"), "l_orderkey").alias("tree_sha"), F.col("l_returnflag").alias("name"), F.lit("DIR").alias("mode"), "sha")
+    below = files.join(dirs, ["l_orderkey", "l_returnflag"]).select(repo, F.col("sha").alias("tree_sha"), text("l_suppkey").alias("name"), F.lit("BLOB").alias("mode"), text("v").alias("sha"))
+    return found, top.unionByName(below.distinct())
+
+
+@query(CHANGED)
+def changed_flat(spark, sf_dir):
+    return diff.changed_flat(*_trees(spark, sf_dir)).drop("repo")
+
+
+@query(CHANGED)
+def changed_pruned(spark, sf_dir):
+    return diff.changed_pruned(*_trees(spark, sf_dir)).drop("repo")
+
+
+JOB_LINES = ["alarm_jobfile_header 2 1", "repo ann/one", "repo bob/two", "file data/x.bin", ""]
+SCORE_LINES = ["   0.123   0.456  -0.012  ann/one", "  -0.500   0.250   0.100  bob/two", "some other line", "   5.000   0.1  0.2  not/one"]
+COLUMN_LINES = ["1.5 2 3", "4 nan-ish x", "  7   8.25 9"]
+
+
+def _values(lines: list[str]) -> str:
+    return "(VALUES " + ", ".join("('" + x + "')" for x in lines) + ") AS t(value)"
+
+
+def _lines(spark, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+@query("SELECT split_part(value, ' ', 1) AS kind, split_part(value, ' ', 2) AS value FROM " + _values(JOB_LINES) + " WHERE value LIKE 'repo %' OR value LIKE 'file %'")
+def job_lines(spark, sf_dir):
+    return textfiles.jobs(_lines(spark, JOB_LINES))
+
+
+@query("SELECT CAST(p[1] AS DOUBLE) AS low, CAST(p[2] AS DOUBLE) AS high, CAST(p[3] AS DOUBLE) AS mean, p[4] AS repo FROM (SELECT regexp_split_to_array(trim(value), '\\s+') AS p FROM " + _values(SCORE_LINES) + " WHERE regexp_matches(value, '^  [- ][01]\\.'))")
+def score_lines(spark, sf_dir):
+    return textfiles.scores(_lines(spark, SCORE_LINES))
+
+
+@query("SELECT TRY_CAST(p[2] AS DOUBLE) AS value FROM (SELECT regexp_split_to_array(trim(value), '\\s+') AS p FROM " + _values(COLUMN_LINES) + ") WHERE TRY_CAST(p[2] AS DOUBLE) IS NOT NULL")
+def column_values(spark, sf_dir):
+    return textfiles.column(_lines(spark, COLUMN_LINES), 1)
+
+
+OBJECT_REPO = [("ann/one", [("commit", b"tree 1234"), ("commit", b"tree 5678")]), ("bob/empty", None), ("cat/two", [("commit", b"tree 9")])]
+
+
+@query("SELECT repo, type, sha1(type || ' ' || length(body) || chr(0) || body) AS sha, CAST(length(body) AS INTEGER) AS size FROM (VALUES ('ann/one', 'commit', 'tree 1234'), ('ann/one', 'commit', 'tree 5678'), ('cat/two', 'commit', 'tree 9')) AS t(repo, type, body)")
+def object_stream(spark, sf_dir):
+    """A stream is written by encode() and read back; a repository without objects gives none."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(r, k, s, len(p)) for data in pdf["data"] for r, k, s, p in objects.decode(bytes(data))]
+            yield pd.DataFrame(rows, columns=["repo", "type", "sha", "size"])
+
+    return spark.createDataFrame([(bytearray(objects.encode(OBJECT_REPO)),)], "data binary").mapInPandas(run, "repo string, type string, sha string, size int")
 
 
 @query(W + CHS + ", " + NO + " SELECT repo, item, node FROM no")
@@ -146,9 +225,9 @@ def symmetric_adjacency(spark, sf_dir):
     return graph.adjacency(built(spark, sf_dir)[1]).drop("repo")
 
 
-@query(W + CH + ", " + ED + ", " + AD + " SELECT node, other, weight FROM ad WHERE node < other AND weight > 2")
+@query(W + CH + ", " + ED + ", " + AD + " SELECT node, other, weight FROM ad WHERE node < other")
 def one_direction(spark, sf_dir):
-    return graph.one_direction(graph.adjacency(built(spark, sf_dir)[1])).where("weight > 2").drop("repo")
+    return graph.one_direction(graph.adjacency(built(spark, sf_dir)[1])).drop("repo")
 
 
 @query(W + CHP + ", " + ED + ", " + AD + ", " + NO + ", " + DE + " SELECT CAST(n.node AS BIGINT) AS node, CAST(sum(d.degree) OVER (ORDER BY n.node) - d.degree AS BIGINT) AS start, CAST(sum(d.degree) OVER (ORDER BY n.node) AS BIGINT) AS stop FROM no n JOIN de d ON d.node = n.item")
@@ -244,8 +323,9 @@ def nth_graph(spark, sf_dir):
 
 @query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1)")
 def repo_semi_join(spark, sf_dir):
-    jobs = read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"))
-    return read(spark, sf_dir, "documents").select("doc_id", "source").join(jobs, "source", "left_semi").select("doc_id", "source")
+    jobs = read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.lit("repo").alias("kind"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("value"))
+    found = objects.selected(read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo")), jobs)
+    return found.select("doc_id", F.col("repo").alias("source"))
 
 
 M64 = "CAST(18446744073709551616 AS UHUGEINT)"
@@ -298,8 +378,7 @@ MAXN = "greatest(1.0, list_max(embedding)::DOUBLE)"
 @query(f"SELECT vec_id, i, round(2 * ln((abs(v) / {MAXN} + 0.0184841) / 0.0154927) / 4.2991 - 1, 6) + 0.0 AS x FROM (SELECT vec_id, embedding, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)")
 def normalise(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    top = dataset.instance_max(F.col("embedding"))
-    x = F.transform(F.col("embedding"), lambda v: 2 * F.log((F.abs(v.cast("double")) / top - dataset.C3) / dataset.C2) / dataset.C1 - 1)
+    x = dataset.normalised(F.transform("embedding", F.abs))  # of unit vectors, so the largest weight counts as 1
     return e.select("vec_id", F.posexplode(x).alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
@@ -355,9 +434,9 @@ def scored(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "source", z.alias("z")).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("y"), F.tanh("z").alias("y_hat"), "z")
 
 
-@query(W + SCORED + " SELECT round(avg(ln(1 + exp(-2 * y * z))), 6) AS loss FROM sc WHERE z < 20")
+@query(W + SCORED + " SELECT round(avg(greatest(-2 * y * z, 0) + ln(1 + exp(-abs(2 * y * z)))), 6) AS loss FROM sc")
 def bce_loss(spark, sf_dir):
-    return scored(spark, sf_dir).where("z < 20").agg(F.round(F.avg(model.bce(F.col("y"), F.col("z"))), 6).alias("loss"))
+    return scored(spark, sf_dir).agg(F.round(F.avg(model.bce(F.col("y"), F.col("z"))), 6).alias("loss"))
 
 
 @query("SELECT label, round(sum(v * v) / 2, 4) AS penalty FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
@@ -439,7 +518,7 @@ def sha1_prefix(spark, sf_dir):
 def parse_number(spark, sf_dir):
     key = F.col("o_orderkey")
     text = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.concat(key.cast("string"), F.lit(".5"))).when(key % 4 == 2, F.concat(key.cast("string"), F.lit("e2"))).otherwise(F.concat(F.lit("x"), key.cast("string")))
-    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.try_number(text).alias("value"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.parsed(text, "f64")["value"].alias("value"))
 
 
 @query("SELECT o_orderkey, CASE WHEN n < 1000 THEN format('{} B', n) WHEN n < 1024000 THEN printf('%.1f KiB', round(n / 1024.0, 1)) WHEN n < 1048576000 THEN printf('%.1f MiB', round(n / 1048576.0, 1)) ELSE printf('%.1f GiB', round(n / 1073741824.0, 1)) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)")

@@ -45,15 +45,25 @@ def decode(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
                 break
             if kind not in KINDS:
                 raise ValueError(f"object type {kind} at byte {at}")
-            z = zlib.decompressobj()
-            payload = z.decompress(data[at:]) + z.flush()  # checks the adler32 sum
-            if not z.eof or len(payload) != size:
-                raise ValueError(f"broken object at byte {at}")
-            at = len(data) - len(z.unused_data)
+            payload, at = _inflated(data, at, size)
             name = KINDS[kind]
             yield repo, name, hashlib.sha1(f"{name} {size}\0".encode() + payload).hexdigest(), payload
 
 
+def _inflated(data: bytes, at: int, size: int) -> tuple[bytes, int]:
+    """The object of size bytes that begins at a byte, its adler32 sum checked, and where it ends. It is fed in pieces of
+    bounded size, so that a file of many objects takes time in proportion to its length."""
+    z, parts, view, to = zlib.decompressobj(), [], memoryview(data), at
+    while not z.eof and to < len(data):
+        piece = view[to : to + min(1 << 16, size + 64)]
+        parts.append(z.decompress(piece))
+        to += len(piece)
+    payload = b"".join(parts) + z.flush()
+    if not z.eof or len(payload) != size:
+        raise ValueError(f"broken object at byte {at}")
+    return payload, to - len(z.unused_data)
+
+
 def _header(data: bytes, at: int) -> tuple[int, int, int]:
     """Type and size of an object: a low nibble, then groups of seven bits while the top bit is set."""
     b = data[at]
