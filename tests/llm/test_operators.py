@@ -483,3 +483,15 @@ def test_packing_is_never_worse_than_best_fit():
         got = packing.plan(h, 4096)
         assert collections.Counter({n: sum(f.count(n) * t for f, t in got) for n in h}) == h and all(sum(f) <= 4096 for f, _ in got)
         assert used(got) <= used(packing._filled(h, 4096, packing.best_fit))
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(name, spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = db.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
