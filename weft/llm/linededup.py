@@ -219,16 +219,21 @@ def _one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((a[i + 1 :] == b[i + 1 :]).all() if len(a) == len(b) else (a[i + 1 :] == b[i:]).all())
 
 
-def words_of(docs: DataFrame, distinct: DataFrame, also: DataFrame | None) -> DataFrame:
-    """A written table (h, row, doc_id, line, words, front, back) of the distinct lines (h, id, k0..k3) that share a half
-    with another, or are in also (h); front and back tell in which half an edit may be."""
+def halves(distinct: DataFrame) -> DataFrame:
+    """Rows (h, back, front) of the distinct lines (h, k0..k3) that share a half with another: in which halves an edit may be."""
     keys = distinct.where("k0 is not null").select("h", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
     # a shared first half leaves the edit to the back, a shared second half to the front
-    sides = keys.join(shared, "key").groupBy("h").agg(F.max(F.col("side").isin(0, 2)).alias("back"), F.max(F.col("side").isin(1, 3)).alias("front"))
+    return keys.join(shared, "key").groupBy("h").agg(F.max(F.col("side").isin(0, 2)).alias("back"), F.max(F.col("side").isin(1, 3)).alias("front"))
+
+
+def words_of(docs: DataFrame, distinct: DataFrame, sides: DataFrame | None, also: DataFrame | None) -> DataFrame:
+    """A written table (h, row, doc_id, line, words, front, back) of the distinct lines (h, id) that are in sides, which are
+    halves(), or in also (h); front and back tell in which half an edit may be."""
     if also is not None:
         no = F.lit(False)
-        sides = sides.unionByName(also.select("h", no.alias("back"), no.alias("front"))).groupBy("h").agg(F.max("back").alias("back"), F.max("front").alias("front"))
+        also = also.select("h", no.alias("back"), no.alias("front"))
+        sides = also if sides is None else sides.unionByName(also).groupBy("h").agg(F.max("back").alias("back"), F.max("front").alias("front"))
     some = written(sides.join(distinct.select("h", "id"), "h"), "halves")
     words = line_words(docs, sieve(some), sieve(some.select(F.xxhash64("id.doc_id").alias("h"))))
     # by place as well as by hash, so that the copies of a common line do not meet; of rows with one id, either has the words
@@ -534,7 +539,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | No
         distinct = written(table.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("id"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)), F.count("*").alias("copies")), "distinct-lines")
         pairs = written(fitting(blobs, words_an_edit), "fitting") if words_an_edit else None
         named = lambda p: p.select("h").unionByName(p.select(F.col("other").alias("h"))).distinct()
-        lines = words_of(docs, distinct, named(pairs) if words_an_edit else None)
+        lines = words_of(docs, distinct, halves(distinct), named(pairs) if words_an_edit else None)
         near = written(near_lines(lines).withColumn("edits", F.lit(1)), "near")
         if words_an_edit:
             far, rest = far_lines(pairs, lines, words_an_edit, near)
@@ -542,7 +547,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | No
             if not rest.isEmpty():
                 some, asking = asked_blobs(blobs, rest)
                 pairs = written(fitting(some, words_an_edit, asking).join(rest, "h"), "fitting")
-                done = done.unionByName(far_lines(pairs, words_of(docs, distinct, named(pairs)), words_an_edit, done)[0])
+                done = done.unionByName(far_lines(pairs, words_of(docs, distinct, None, named(pairs)), words_an_edit, done)[0])
             near = done
         classes = keep(written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes"))
     lines = table.select("row", "doc_id", "line", "h")
