@@ -465,6 +465,15 @@ def _some(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[keep], (n > NAMED)[keep]
 
 
+def _kept(g: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+    """Of a blob's arrays the prints to keep, and the lines that have one of them."""
+    who, line = np.unique(g["line"][keep], return_inverse=True)
+    long = g["n"] > LONG_LINE
+    nth, fine = np.cumsum(long) - 1, g["fine"].reshape(-1, LONG_BITS // 64)
+    of_lines = {c: g[c][who] for c in ("h", "doc", "n", "s0", "s1")}
+    return {"print": g["print"][keep], "line": narrow(line), "place": g["place"][keep], **of_lines, "fine": fine[nth[who[long[who]]]].reshape(-1)}
+
+
 def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
     """Of blobs the windows that some line of rest (h) has, by sieves, and the sieve of these lines."""
     asking = sieve(rest)
@@ -477,7 +486,7 @@ def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
                 g = _unpack(body)
                 yield pa.RecordBatch.from_arrays([pa.array(g["print"][_passes(bits, g["h"])[g["line"]]].view(np.int64))], names=["h"])
 
-    wanted = blobs.sparkSession.sparkContext.broadcast(sieve(blobs.select("body").mapInArrow(prints, "h long")))
+    wanted = blobs.sparkSession.sparkContext.broadcast(sieve(written(blobs.select("body").mapInArrow(prints, "h long"), "asked")))
 
     def kept(batches):
         bits = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -488,7 +497,7 @@ def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
                 keep = _passes(bits, g["print"])
                 if keep.any():
                     parts.append(part)
-                    bodies.append(_pack(**{c: v[keep] if c in ("print", "line", "place") else v for c, v in g.items()}))
+                    bodies.append(_pack(**_kept(g, keep)))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "body"])
 
     return blobs.select("part", "body").mapInArrow(kept, "part long, body binary"), asking
