@@ -503,20 +503,28 @@ def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
     return blobs.select("part", "body").mapInArrow(kept, "part long, body binary"), asking
 
 
-def far_lines(pairs: DataFrame, lines: DataFrame, words_an_edit: int, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+def far_lines(pairs: DataFrame, lines: DataFrame, words_an_edit: int, done: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     """Of pairs of fitting(), for lines that are not in done (h): rows (h, best, edits), the earliest line at most 1 edit in
-    words_an_edit away; and the lines (h) that match none of those they named and have others yet."""
+    words_an_edit away; and the lines (h) that match none of those they named and have others yet. With few, of pairs of
+    NAMED lines or so each, a line's pairs meet in order in one task, which looks no further than its first match."""
     side = lambda name: lines.select(F.col("h").alias(name), F.struct("doc_id", "row", "line").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
     asked = pairs.groupBy("h", "other").agg(F.max("more").alias("more")).join(done.select("h"), "h", "left_anti")
     of = asked.join(side("h"), "h").join(side("other"), "other").select("h", F.col("other_id").alias("best"), "more", (F.col("other_id") < F.col("h_id")).alias("before"), F.col("h_words").alias("a"), F.col("other_words").alias("b"))
+    if few:
+        of = of.repartition("h").sortWithinPartitions("h", "best")
     names = ["h", "best", "more", "edits"]
 
     def verify(batches):
+        matched = None
         for batch in batches:
             found = []
-            for before, a, b in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="<u4") for x in (a, b))
-                found.append(_edits(a, b, max(len(a), len(b)) // words_an_edit) if before else -1)
+            for h, before, a, b in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                edits = -1
+                if before and not (few and h == matched):
+                    a, b = (np.frombuffer(x.as_buffer(), dtype="<u4") for x in (a, b))
+                    edits = _edits(a, b, max(len(a), len(b)) // words_an_edit)
+                    matched = h if edits >= 0 else matched
+                found.append(edits)
             edits = np.array(found, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(edits, mask=edits < 0)], names=names)
 
@@ -551,12 +559,12 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, words_an_edit: int | No
         lines = words_of(docs, distinct, halves(distinct), named(pairs) if words_an_edit else None)
         near = written(near_lines(lines).withColumn("edits", F.lit(1)), "near")
         if words_an_edit:
-            far, rest = far_lines(pairs, lines, words_an_edit, near)
+            far, rest = far_lines(pairs, lines, words_an_edit, near, few=True)
             done = near.unionByName(far)
             if not rest.isEmpty():
                 some, asking = asked_blobs(blobs, rest)
                 pairs = written(fitting(some, words_an_edit, asking).join(rest, "h"), "fitting")
-                done = done.unionByName(far_lines(pairs, words_of(docs, distinct, None, named(pairs)), words_an_edit, done)[0])
+                done = done.unionByName(far_lines(pairs, words_of(docs, distinct, None, named(pairs)), words_an_edit, done, few=False)[0])
             near = done
         classes = keep(written(distinct.join(near, "h", "left").where("copies > 1 or best is not null").select("h", "id", "best", "copies", F.coalesce("edits", F.lit(0)).alias("edits")), "classes"))
     lines = table.select("row", "doc_id", "line", "h")
