@@ -79,7 +79,7 @@ def _lines(raw: np.ndarray, off: np.ndarray):
     breaks = np.flatnonzero(low == 10)
     in_doc = np.searchsorted(breaks, off)
     _, doc = K.doc_of(starts, off)
-    number = np.searchsorted(breaks, starts) - in_doc[doc]
+    number = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts))) - in_doc[doc]
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) if len(starts) else np.zeros(0, dtype=np.int64)
     return doc[edge], number[edge], edge, np.append(edge[1:], len(starts)) if len(edge) else edge, K.hash_slices(low, starts, ends)
 
@@ -308,6 +308,16 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
+def _least(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of every k values in a row, from those of 1, 2, 4, ... in a row."""
+    size = 1
+    while size < k:
+        step = min(size, k - size)
+        x = np.minimum(x[:-step], x[step:])
+        size += step
+    return x
+
+
 def print_blobs(words: np.ndarray, sums: Sums, a: np.ndarray, n: np.ndarray, h: np.ndarray, doc: np.ndarray, runs: int, bits: int) -> tuple[list[int], list[bytes]]:
     """Hash buckets, and for each the windows' hashes of the lines of n words from a that may be two edits or more from others.
 
@@ -323,7 +333,7 @@ def print_blobs(words: np.ndarray, sums: Sums, a: np.ndarray, n: np.ndarray, h:
     count = n - runs + 1
     begin = K.ragged(first, count)
     view = np.lib.stride_tricks.sliding_window_view(hashes, pick)
-    least = view.min(axis=1)[begin]
+    least = _least(hashes, pick)[begin]
     owner = np.repeat(np.arange(len(a)), count)
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
     prints, owner = least[new], owner[new]
