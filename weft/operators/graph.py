@@ -11,7 +11,7 @@ EDGES_MIN, EDGES_MAX = 10, 50_000_000
 def node_ids(changed: DataFrame, item: str = "item") -> DataFrame:
     """(repo, item, node): numbers from 0 in the order of items, for items changed at least once.
 
-    Numbered in two steps (range within repo by item, counts before it), so that one large repository needs no single task.
+    One window a repository: the distinct items of a repository are sorted in one task.
     """
     items = changed.select("repo", item).distinct()
     return items.withColumn("node", F.row_number().over(Window.partitionBy("repo").orderBy(item)) - 1)
