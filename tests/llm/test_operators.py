@@ -475,6 +475,15 @@ def test_written_shards_hold_every_row(spark, odd, tmp_path):
     assert sorted(r.n_bytes for r in of) == sorted(r.n for r in size)
 
 
+def test_words_met_before_alone():
+    """A block may hold no word that its task has not met, or words for the library alone."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["some words here", "and Ünï <x>"], ["words some", ""], ["日本 don't"], ["日本 <x>", "here"], ["", "  "]):
+        raw = [t.encode() for t in texts]
+        ids, to = words.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(to, to[1:], strict=False)] == [words.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_is_never_worse_than_best_fit():
     rng = np.random.default_rng(2)
     for low, high, count in ((700, 2300, 300), (1000, 1400, 400), (10, 4096, 500)):

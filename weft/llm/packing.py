@@ -82,6 +82,8 @@ class WordIds:
     def _fresh(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words not met before, in a row, and how many each has. Plain words merge as arrays, others in the library."""
         n = ends - starts
+        if not len(n):  # a block may have met words alone
+            return np.zeros(0, dtype=np.int32), n
         text = raw[K.ragged(starts, n)]
         to = np.concatenate([[0], np.cumsum(n)])
         kind = _KIND[text]
