@@ -29,3 +29,11 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
+
+
+def test_packed_where_a_block_has_no_new_words(spark):
+    """Texts of more than a block each, in one task: all but the first hold words that the task has met."""
+    docs = spark.createDataFrame([(i, "the same words " * 80_000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    got = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, SF).collect()
+    per = {i: sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i) for i in range(3)}
+    assert per[0] == per[1] == per[2] and sum(n for _, _, n, _ in per[0]) > 240_000
