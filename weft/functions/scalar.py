@@ -26,9 +26,10 @@ def mode_name(octal: Column) -> Column:
     return out
 
 
-def nice_bytes(n: Column) -> Column:
-    """A size with a unit: the next unit from 1000 on, each 1024 of the one before."""
+def nice_bytes(n: Column, last: str = "PiB") -> Column:
+    """A size with a unit: the next unit from 1000 on, each 1024 of the one before, up to the last."""
     units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+    units = units[: units.index(last) + 1]
     x = n.cast("double")
     out = F.format_string("%.1f %s", F.round(x / 1024.0 ** (len(units) - 1), 1), F.lit(units[-1]))
     for i in reversed(range(1, len(units) - 1)):
