@@ -150,3 +150,26 @@ def test_quantiles_and_sketch(spark):
     assert quantiles.sketch(df.where("i < 50").withColumnRenamed("i", "at"), "k", "at", "v").count() == 0
     assert abs(sum(quantiles.bin_mass(got, 60)) - 1) < 1e-9
     assert quantiles.render([1.0]).startswith("too few")
+
+
+def test_changes_in_slices(changed, spark, monkeypatch, tmp_path):
+    """The same rows from slices of few commits; afterwards disk holds nothing but the result."""
+    import os
+
+    commits, entries, _ = changed
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    for f in (diff.changed_flat, diff.changed_pruned):
+        want = sorted(map(tuple, f(commits, entries.unionByName(entries)).collect()))
+        before = {x for x in os.listdir(folder) if x.startswith(("weft-", "rdd-"))}
+        monkeypatch.setattr(diff, "SLICE", 3)
+        got = f(commits, entries)
+        monkeypatch.undo()
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 16
+        left = {x for x in os.listdir(folder) if x.startswith(("weft-", "rdd-"))} - before
+        assert len(left) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
+
+
+def test_names_of_hashes(spark):
+    names = ["a" * 40, "A" * 40, "t1", "", "\1x", "ü" * 20, None, "0123456789abcdef" * 2 + "01234567", "0" * 39]
+    rows = spark.createDataFrame([(x,) for x in names], "sha string").select("sha", diff._id(F.col("sha")).alias("id")).select("sha", F.length("id").alias("n"), diff._name(F.col("id")).alias("back")).collect()
+    assert [r.back for r in rows] == names and [r.n for r in rows] == [21, 41, 3, 1, 3, 41, None, 21, 40]
