@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm import decontaminate, jaccard, katz, licenses, linededup, packing, queries, repetition, sharding, tokencount, toxicity
+from weft.llm import blobs, decontaminate, jaccard, katz, licenses, linededup, packing, queries, repetition, sharding, tokencount, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -215,6 +215,30 @@ def test_line_dedup_by_length(spark):
     assert sum(r.edits > 1 for r in got) > 10
 
 
+def test_lines_of_other_words_are_not_slid(monkeypatch):
+    """Long lines whose words differ too much as bags are told apart without following any diagonal; others count as before."""
+    import random
+
+    rng = random.Random(7)
+    a = np.array([rng.randrange(300) for _ in range(400)], dtype="<u4")
+    b = a.copy()
+    b[[5, 90, 200]] = 10**6
+    assert linededup._left_over(a, b) == (3, 3) and linededup._edits(a, b, 3) == linededup._edits(b[:90], a[:90], 1) + 2 == 3
+    for _ in range(30):
+        c = np.delete(a, rng.randrange(400)) if rng.random() < 0.5 else a.copy()
+        c[rng.sample(range(399), rng.randint(0, 12))] = rng.randrange(300)
+        away = edits_by_force(a.tolist(), c.tolist())
+        assert max(linededup._left_over(a, c)) <= away and linededup._edits(a, c, 8) == (away if away <= 8 else -1)
+    monkeypatch.setattr(linededup.np, "flatnonzero", lambda x: pytest.fail("slid"))
+    assert linededup._edits(a, a + 10**6, 20) == -1
+
+
+def test_blobs_in_part():
+    packed = blobs.pack(h=np.arange(5, dtype=np.uint64), line=np.arange(3, dtype=np.uint8), print=np.arange(7, dtype=np.int64))
+    got = blobs.unpack(packed, ("line", "print"))
+    assert list(got) == ["line", "print"] and got["print"].tolist() == list(range(7)) and got["line"].tolist() == [0, 1, 2]
+
+
 def test_line_dedup_of_documents(docs):
     data = [(r.doc_id, r.text) for r in rows(docs)]
     assert sorted(map(tuple, linededup.duplicate_lines(docs).drop("row").collect()), key=key) == lines_by_force(data)

@@ -21,12 +21,16 @@ def pack(**arrays: np.ndarray) -> bytes:
     return len(body).to_bytes(8, "little") + _CODEC.compress(body, asbytes=True)
 
 
-def unpack(blob: bytes) -> dict[str, np.ndarray]:
+def unpack(blob: bytes, only: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of a blob, or only those named."""
     body = _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n = int.from_bytes(body[:4], "little")
     out, at = {}, 4 + n
     for name, dtype, size in (x.split(",") for x in body[4 : 4 + n].decode().split(";")):
         kind, size = np.dtype(dtype), int(size)
+        if only is not None and name not in only:
+            at += kind.itemsize * size
+            continue
         if kind.itemsize == 8:
             out[name] = np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8, count=8 * size, offset=at).reshape(8, size).T).reshape(-1).view(kind)
         else:

@@ -29,8 +29,9 @@ from .store import ROW, drop, numbered, scratch, small_batches, written
 
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
-#: Bits of a sieve for each hash that it lets through, and at most (32 MB): a full sieve costs time, not results.
-SIEVE_SHARE, SIEVE_MOST = 16, 1 << 28
+#: Bits of a sieve for each hash that it lets through, at least (few hashes often sift many) and at most (32 MB): a full
+#: sieve costs time, not results.
+SIEVE_SHARE, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 16, 1 << 28
 #: Words of the windows by which lines of more than one edit are found.
 WINDOW = 5
 #: Bytes of text for each bucket of windows, and in each block; fitting lines held at a time.
@@ -39,6 +40,10 @@ PER_BUCKET, BLOCK, HELD = 8 << 20, 2 << 20, 1 << 20
 SHORT_BITS, LONG_BITS, LONG_LINE, OFTEN = 128, 1024, 256, 64
 #: Lines that a line names at once; a line that matches none of them and has more asks again for all.
 NAMED = 16
+#: Lines of more words than this in all have their words compared as bags before their edits are counted.
+BAGS = 160
+#: Documents whose ids are broadcast when they are asked for again; more are found by a sieve.
+FEW_DOCS = 1_000_000
 #: A line is hot if more than one in so many of all lines are its copies.
 HOT_LINES = 2000
 
@@ -132,8 +137,8 @@ def _bits(h: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 def sieve(lines: DataFrame) -> bytes:
-    """A Bloom filter of the column h, of SIEVE_SHARE bits or more for each row and SIEVE_MOST at most."""
-    n_bits = min(SIEVE_MOST, 1 << max(10, (SIEVE_SHARE * lines.count()).bit_length()))
+    """A Bloom filter of the column h, of SIEVE_SHARE bits or more for each row, SIEVE_LEAST at least and SIEVE_MOST at most."""
+    n_bits = min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (SIEVE_SHARE * lines.count()).bit_length()))
 
     def run(batches):
         found = np.zeros(n_bits, dtype=bool)
@@ -235,6 +240,9 @@ def words_of(docs: DataFrame, distinct: DataFrame, sides: DataFrame | None, also
         also = also.select("h", no.alias("back"), no.alias("front"))
         sides = also if sides is None else sides.unionByName(also).groupBy("h").agg(F.max("back").alias("back"), F.max("front").alias("front"))
     some = written(sides.join(distinct.select("h", "id"), "h"), "halves")
+    of = some.select(F.col("id.doc_id").alias("__weft_of")).distinct()
+    if of.limit(FEW_DOCS + 1).count() <= FEW_DOCS:  # their texts alone go to the workers
+        docs = docs.join(F.broadcast(of), F.col("doc_id").cast("long").eqNullSafe(F.col("__weft_of")), "left_semi")
     words = line_words(docs, sieve(some), sieve(some.select(F.xxhash64("id.doc_id").alias("h"))))
     # by place as well as by hash, so that the copies of a common line do not meet; of rows with one id, either has the words
     place = some.select(F.col("h").alias("_h"), "front", "back", F.col("id.doc_id").alias("d"), F.col("id.row").alias("row"), F.col("id.line").alias("l"))
@@ -265,10 +273,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return checked.mapInArrow(verify, "h long, best struct<doc_id:long,row:long,line:int>").groupBy("h").agg(F.min("best").alias("best"))
 
 
+def _left_over(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many words of a, and of b, the other has not, each as often as it stands there. An edit changes each by one at most."""
+    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(at[: len(a)], minlength=len(words)) - np.bincount(at[len(a) :], minlength=len(words))
+    return int(more[more > 0].sum()), int(-more[more < 0].sum())
+
+
 def _edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Words to replace, put in or leave out to make b of a; -1 if more than most. By the furthest reach on each diagonal."""
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if abs(n - m) > most or n + m > BAGS and max(_left_over(a, b)) > most:
         return -1
     stops: dict[int, np.ndarray] = {}
 
@@ -492,9 +507,13 @@ def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
     def prints(batches):
         bits = np.frombuffer(held.value, dtype=np.uint8)
         for batch in batches:
+            found = [np.zeros(0, dtype=K.U)]
             for body in batch.column(0).to_pylist():
-                g = _unpack(body)
-                yield pa.RecordBatch.from_arrays([pa.array(g["print"][_passes(bits, g["h"])[g["line"]]].view(np.int64))], names=["h"])
+                ask = _passes(bits, _unpack(body, ("h",))["h"])
+                if ask.any():
+                    g = _unpack(body, ("print", "line"))
+                    found.append(g["print"][ask[g["line"]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
     wanted = blobs.sparkSession.sparkContext.broadcast(sieve(written(blobs.select("body").mapInArrow(prints, "h long"), "asked")))
 
@@ -503,11 +522,10 @@ def asked_blobs(blobs: DataFrame, rest: DataFrame) -> tuple[DataFrame, bytes]:
         for batch in batches:
             parts, bodies = [], []
             for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g = _unpack(body)
-                keep = _passes(bits, g["print"])
+                keep = _passes(bits, _unpack(body, ("print",))["print"])
                 if keep.any():
                     parts.append(part)
-                    bodies.append(_pack(**_kept(g, keep)))
+                    bodies.append(_pack(**_kept(_unpack(body), keep)))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "body"])
 
     return blobs.select("part", "body").mapInArrow(kept, "part long, body binary"), asking
