@@ -455,6 +455,15 @@ def test_katz(table):
         assert x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-4 and abs(x[6] - y[6]) < 1e-4
 
 
+def test_katz_gives_back_small_batches():
+    """A block's or a bucket's blobs leave the worker in batches of about OUT bytes, not in one; all are there, in order."""
+    sent = [(0, i, bytes(katz.OUT // 3 - 1)) for i in range(10)] + [(1, 10, bytes(2 * katz.OUT)), (1, 11, b"x")]
+    got = list(katz._batches(sent))
+    assert [b.num_rows for b in got] == [3, 3, 3, 1, 1, 1]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == sent
+    assert [b.num_rows for b in katz._batches([])] == [0]
+
+
 def test_katz_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = katz.katz_report(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

@@ -19,6 +19,7 @@ outside it alone can have, ask for the backoff weight of their history, from the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ DELTA = 0.1
 CUTOFF = 5
 #: Bytes of text for each bucket, and in each block.
 PER_BUCKET, BLOCK = 16 << 20, 8 << 20
+#: Bytes of the batches that workers give back, as far as single blobs allow.
+OUT = 1 << 20
 #: A word is hot with this share of all tokens at least; there are at most 1 / HOT such words.
 HOT = 1 / 2000
 
@@ -50,6 +53,18 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int64()), pa.array(body, pa.binary())], names=["kind", "part", "body"])
 
 
+def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about OUT bytes, as the machine that takes them holds each as a whole."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[2]) > OUT:
+            yield _batch(held)
+            held, size = [], 0
+        held.append(row)
+        size += len(row[2])
+    yield _batch(held)
+
+
 def _group(part: np.ndarray, n_parts: int):
     order = np.argsort(part.astype(np.uint16) if n_parts <= 65536 else part, kind="stable")
     parts, edge = np.unique(part[order], return_index=True)
@@ -92,7 +107,7 @@ def unigrams(texts: DataFrame, bits: int) -> DataFrame:
             h, doc, _ = tokens(raw, off)
             words, n = np.unique(h[_learn(batch)[doc]], return_counts=True)
             order, parts, at = _group(_bucket(words, bits), 1 << bits)
-            yield _batch([(0, int(p), _pack(w=words[order[a:b]], n=_narrow(n[order[a:b]]))) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)])
+            yield from _batches([(0, int(p), _pack(w=words[order[a:b]], n=_narrow(n[order[a:b]]))) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)])
 
     def merge(table: pa.Table) -> pa.Table:
         got = [_unpack(x) for x in table.column("body").to_pylist()]
@@ -181,7 +196,7 @@ def pairs(texts: DataFrame, bits: int, uni: Unigram) -> DataFrame:
             for p, a, b in zip(parts, at[:-1], at[1:], strict=True):
                 who = order[a:b]
                 out.append((FACTS, -1 - int(p), _pack(row=rows[who], id=ids[who], null=null[who], learn=learn[who], n=n[who])))
-            yield _batch(out)
+            yield from _batches(out)
 
     return texts.mapInArrow(run, BLOB)
 
@@ -266,7 +281,7 @@ def counted(blobs: DataFrame, bits: int, uni: Unigram) -> DataFrame:
                 out += _by_doc(row_of[doc[ask[often]]], n_parts, ASK_HOT, w=histories[h_id[ask[often]]])
         of_count = np.bincount(np.minimum(c_pair, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
         out.append((STATS, part, _pack(n=of_count)))
-        return pa.Table.from_batches([_batch(out)])
+        return pa.Table.from_batches(_batches(out))
 
     return blobs.groupBy("part").applyInArrow(K.trimmed(run), BLOB)
 
