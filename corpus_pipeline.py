@@ -14,52 +14,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontaminate, jaccard, linededup, packing, toxicity
-from weft.llm.store import collected, sweep, written
+from weft.llm.store import collected, small_batches, sweep, written
 
 _left: list = []
 
 
-def _stage(f):
-    """f, with the tables swept that the stage before it left behind."""
+def _stage(batch: int):
+    """A stage whose workers get batches of so many bytes, with the tables swept that the stage before it left behind."""
 
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(_left)
-        _left.clear()
-        with collected() as made:
-            out = f(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
+    def of(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            sweep(_left)
+            _left.clear()
+            small_batches(spark, batch)
+            with collected() as made:
+                out = f(spark, docs, sf_dir)
+            _left.extend(made)
+            return out
 
-    return run
+        return run
 
+    return of
 
-@_stage
+
+@_stage(1 << 19)
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels outside the held-out quarter."""
     labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels), threshold=0.3)
 
 
-@_stage
+@_stage(2 << 20)
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, to one word or one in 20, go; so do documents with nothing else."""
     return linededup.deduped(docs, words_an_edit=20)
 
 
-@_stage
+@_stage(1 << 20)
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.75 or more."""
     return jaccard.one_of_each(docs, k=5, percent=75)
 
 
-@_stage
+@_stage(1 << 20)
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, in whatever order, go."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
+@_stage(1 << 19)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)

@@ -29,10 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches that workers hold, for a session that leaves Spark's default in place."""
-    if spark.conf.get(BATCH) == f"{64 << 20}b":  # the default, as Spark spells it
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+#: Bounds that small_batches() has set; all others are the session's own.
+_bounds: set[str] = set()
+
+
+def small_batches(spark: SparkSession, size: int | None = None) -> None:
+    """Bounds the batches that workers hold, for a session that leaves Spark's default in place. A size also takes the place
+    of a bound set here before."""
+    now = spark.conf.get(BATCH)
+    if now == f"{64 << 20}b" or size and now in _bounds:  # the default, as Spark spells it
+        _bounds.add(bound := str(size or BATCH_BYTES))
+        spark.conf.set(BATCH, bound)
 
 
 #: Scopes that are open: the paths of the tables made within each.
